@@ -21,21 +21,22 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a document while ``low <= numerator / denominator <= high``."""
+    """Keep a document while ``low <= (numerator + plus) / denominator <= high``."""
 
     name: str
     numerator: str
     denominator: str
     low: float
     high: float
+    plus: int = 0
 
 
 #: The thresholds of the verdict; ratios whose denominator is 0 count as 0.
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "word_chars", 0.0, 0.08),
-    Rule("stop_words", "n_stop", "n_words", 0.04, 1.0),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("stop_words", "n_stop", "n_words", 0.04, 2.0, plus=1),  # a short text may lack them by chance
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 0.0, 0.4),
 )
 
 SYMBOLS = "#*$%&|<>"
@@ -100,14 +101,14 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def _passes(rule: Rule) -> Column:
-    ratio = F.when(F.col(rule.denominator) > 0, F.col(rule.numerator) / F.col(rule.denominator)).otherwise(F.lit(0.0))
+    ratio = F.when(F.col(rule.denominator) > 0, (F.col(rule.numerator) + rule.plus) / F.col(rule.denominator)).otherwise(F.lit(0.0))
     return ratio.between(rule.low, rule.high)
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """The same counts and verdict as DuckDB SQL over ``documents``."""
     words = ", ".join(f"'{w}'" for w in stop_words())
-    verdict = " AND ".join(f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator}::DOUBLE / {r.denominator} ELSE 0.0 END) BETWEEN {r.low} AND {r.high}" for r in rules)
+    verdict = " AND ".join(f"(CASE WHEN {r.denominator} > 0 THEN ({r.numerator} + {r.plus})::DOUBLE / {r.denominator} ELSE 0.0 END) BETWEEN {r.low} AND {r.high}" for r in rules)
     return f"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
