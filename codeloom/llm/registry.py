@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality_rules, secrets, sharding
+from . import ann, near_dup, packing, quality_rules, secrets, sharding
 from .common import table
 
 
@@ -18,6 +18,7 @@ def tokenizer_path() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": lambda s, d: ann.nearest(table(s, d, "embeddings")),
         "op2_near_dup": lambda s, d: near_dup.near_duplicates(table(s, d, "documents")),
         "op4_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer_path()),
         "op6_secrets": lambda s, d: secrets.digest(table(s, d, "documents")),
