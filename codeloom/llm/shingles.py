@@ -52,25 +52,30 @@ def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, edges): text i has the words ``edges[i]`` to ``edges[i + 1]``."""
+    return marked_words(column, separators, None)[:2]
+
+
+def marked_words(column: pa.Array, separators: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, and for each word how many bytes of the kind ``marks`` lie before it, in all texts."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     out, edges, at, end = [], [np.zeros(1, dtype=np.int64)], int(offsets[0]), int(offsets[-1])
-    total = 0
+    total, passed, before = 0, 0, []
     while at < end:
         stop = min(at + CHUNK, end)
         if stop < end:  # cut between words where possible
-            gap = np.flatnonzero(_SEP[raw[at:stop]])
+            gap = np.flatnonzero(separators[raw[at:stop]])
             inner = offsets[(offsets > at) & (offsets <= stop)]
             stop = max([*inner[-1:], *(gap[-1:] + at + 1)], default=None)
             if stop is None:  # one word longer than a chunk is hashed whole
-                after = np.flatnonzero(_SEP[raw[at + CHUNK : end]])[:1] + at + CHUNK + 1
+                after = np.flatnonzero(separators[raw[at + CHUNK : end]])[:1] + at + CHUNK + 1
                 stop = min([*after, offsets[offsets > at + CHUNK][0]])
         buf = raw[at:stop]
-        inside = ~_SEP[buf]
+        inside = ~separators[buf]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -80,6 +85,10 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         last[cuts - 1] = inside[cuts - 1]
         starts = np.flatnonzero(first)
         out.append(_hash(buf, starts, np.flatnonzero(last) + 1))
+        if marks is not None:
+            seen = np.cumsum(marks[buf], dtype=np.int64)
+            before.append(seen[starts] + passed)
+            passed += int(seen[-1])
         of = offsets[(offsets > at) & (offsets <= stop)] - at
         edges.append(total + np.searchsorted(starts, of))
         total += len(starts)
@@ -88,7 +97,8 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     all_edges = np.concatenate(edges)
     lead = int(np.count_nonzero(offsets[1:] == offsets[0]))  # empty texts at the start
     tail = len(offsets) - lead - len(all_edges)
-    return hashes, np.concatenate([np.zeros(lead, dtype=np.int64), all_edges, np.full(max(0, tail), total)]).astype(np.int64)
+    all_edges = np.concatenate([np.zeros(lead, dtype=np.int64), all_edges, np.full(max(0, tail), total)]).astype(np.int64)
+    return hashes, all_edges, np.concatenate(before) if before else np.zeros(0, dtype=np.int64)
 
 
 def shingles(column: pa.Array) -> Iterator[np.ndarray]:
