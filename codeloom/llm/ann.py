@@ -72,7 +72,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, per_bucket: int = 800, block: int = 4096, aim: float = 0.96, trial: int = 64, seed: int = 5,
+    vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, per_bucket: int = 800, block: int = 16384, aim: float = 0.96, trial: int = 64, seed: int = 5,
 ) -> DataFrame:
     """Each query's ``k`` nearest by inner product: ``query_id, rank, vec_id, score``.
 
@@ -85,9 +85,10 @@ def nearest(
     vector is in one bucket of each table. A query visits a table's buckets in the order of their
     estimated success until their share of it reaches a level, which ``trial`` queries set: against
     all rows, exactly, the levels of all tables together found ``aim`` of their neighbours. The
-    candidates of all tables are merged and reranked by exact products. A bucket is cut into blocks of
-    about ``block`` vectors, so a task's work does not grow with the largest bucket. The driver holds
-    the trial and the bucket sizes, at most 65536 for each table.
+    candidates of all tables are merged and reranked by exact products. Buckets are gathered into, or
+    cut into, blocks of about ``block`` vectors, so a task's work does not grow with the largest; in a
+    block, a query sees the vectors of the buckets that it visits. The driver holds the trial and the
+    bucket sizes, at most 65536 for each table.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -125,9 +126,19 @@ def nearest(
 
     stored = distinct.mapInPandas(hashed, "table int, bucket long, id long, x array<double>")
     directory = stored.groupBy("table", "bucket").count().collect()  # at most tables * CELLS ** MOST_FUNCTIONS rows
-    held = [np.array(sorted(r["bucket"] for r in directory if r["table"] == t), dtype=np.int64) for t in range(tables)]
-    cut = {(r["table"], r["bucket"]): -(-r["count"] // block) for r in directory}
-    blocks = [np.array([cut[t, b] for b in held[t].tolist()], dtype=np.int64) for t in range(tables)]
+    held, first_block, cut = [], [], []
+    for t in range(tables):
+        counts = sorted((r["bucket"], r["count"]) for r in directory if r["table"] == t)
+        held.append(np.array([b for b, _ in counts], dtype=np.int64))
+        at, full, firsts, parts = -1, block, [], []
+        for _, n in counts:
+            if full + n > block:
+                at, full = at + 1, 0
+            firsts.append(at)
+            parts.append(max(1, -(-n // block)))
+            at, full = at + parts[-1] - 1, full + n
+        first_block.append(np.array(firsts, dtype=np.int64))
+        cut.append(np.array(parts, dtype=np.int64))
 
     def visits(batches):
         for pdf in batches:
@@ -137,34 +148,41 @@ def nearest(
                 for t in range(tables):
                     order, mass = _probed(model.success(t, lifted, held[t]))
                     take = np.c_[np.ones(len(part), dtype=bool), mass[:, :-1] < level]
-                    row, col = np.nonzero(take)
-                    at = order[row, col]
-                    n = blocks[t][at]
-                    rep = np.repeat(np.arange(len(row)), n)
-                    number = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                    yield pd.DataFrame({"table": np.int32(t), "bucket": held[t][at][rep], "block": number, "query_id": part["query_id"].to_numpy()[row][rep], "q": part["q"].to_numpy()[row][rep]})
-
-    asked = queries.mapInPandas(visits, "table int, bucket long, block long, query_id long, q array<double>")
-    counts = spark.createDataFrame([(t, b, n) for (t, b), n in cut.items()], "table int, bucket long, blocks long")
-    kept = stored.join(F.broadcast(counts), ["table", "bucket"]).select("table", "bucket", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "x")
+                    out = []
+                    for i, (query_id, q) in enumerate(zip(part["query_id"], part["q"])):
+                        seen: dict[int, list[int]] = {}
+                        for b in order[i][take[i]].tolist():
+                            for k_ in range(cut[t][b]):
+                                seen.setdefault(int(first_block[t][b]) + k_, []).append(int(held[t][b]))
+                        out += [(t, n, query_id, q, visited) for n, visited in seen.items()]
+                    yield pd.DataFrame(out, columns=["table", "block", "query_id", "q", "visited"])
+
+    asked = queries.mapInPandas(visits, "table int, block long, query_id long, q array<double>, visited array<long>")
+    places = [(t, int(b), int(f), int(n)) for t in range(tables) for b, f, n in zip(held[t], first_block[t], cut[t])]
+    blocks = spark.createDataFrame(places, "table int, bucket long, first long, parts long")
+    kept = stored.join(F.broadcast(blocks), ["table", "bucket"]).select("table", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"), "bucket", "id", "x")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = left.column("query_id").to_numpy(), right.column("id").to_numpy()
         out_q, out_id, out_s = [], [], []
         if len(q) and len(x):
-            xs = _rows(right.column("x"), dim)
-            qs = _rows(left.column("q"), dim)
-            for lo in range(0, len(q), 512):
-                s = qs[lo : lo + 512] @ xs.T
+            xs, qs = _rows(right.column("x"), dim), _rows(left.column("q"), dim)
+            own, of = np.unique(right.column("bucket").to_numpy(), return_inverse=True)
+            visited = left.column("visited").to_pylist()
+            for lo in range(0, len(q), 256):
+                allowed = np.array([np.isin(own, v) for v in visited[lo : lo + 256]])
+                s = np.where(allowed[:, of], qs[lo : lo + 256] @ xs.T, -np.inf)
                 m = min(k + 1, len(x))
                 near = _largest(s, x, m)
-                out_q.append(np.repeat(q[lo : lo + 512], m))
-                out_id.append(x[near].ravel())
-                out_s.append(np.einsum("nmd,nd->nm", xs[near], qs[lo : lo + 512]).ravel())
+                found = np.isfinite(np.take_along_axis(s, near, axis=1))
+                row, near = np.nonzero(found)[0], near[found]
+                out_q.append(q[lo : lo + 256][row])
+                out_id.append(x[near])
+                out_s.append(np.einsum("nd,nd->n", xs[near], qs[lo : lo + 256][row]))
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
         return pa.table({"query_id": flat(out_q, np.int64), "id": flat(out_id, np.int64), "score": flat(out_s, np.float64)})
 
-    keys = ["table", "bucket", "block"]
+    keys = ["table", "block"]
     scored = asked.groupBy(*keys).cogroup(kept.groupBy(*keys)).applyInArrow(score, "query_id long, id long, score double")
     merged = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
