@@ -175,3 +175,21 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+
+def keep_first(docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id; rows without an id all stay.
+
+    Rows that share the least id are copies of one document too, so only one of them stays.
+    """
+    found = materialize(near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"), "verdicts")
+
+    def but(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = ids.count() <= broadcast_ids  # a checked size of some 16 MB; else both sides are shuffled
+        return rows.join(F.broadcast(ids) if few else ids, "doc_id", how).select(*docs.columns)
+
+    out = but(docs, materialize(found.where("NOT kept").select("doc_id").distinct(), "dropped"), "left_anti")
+    repeated = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return out
+    return but(out, repeated, "left_anti").unionByName(but(out, repeated, "left_semi").dropDuplicates(["doc_id"]))

@@ -137,22 +137,26 @@ def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """Trusted are the documents of label quality 1; a fifth of them, by hash, sets the thresholds and
+    is not counted, as a text that the model has counted is likelier than any other.
+    """
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return ids.withColumn("_trusted", F.when(F.pmod(F.xxhash64(F.lit("threshold"), "doc_id"), F.lit(5)) == 0, "threshold").otherwise("model"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, block_rows: int = 8192) -> DataFrame:
     """``docs`` with ``_trusted``, ``_n`` (units) and ``_logp`` (of the text) for every document.
 
-    Trusted are the documents of label quality 1; all of them are counted. Documents are dealt by
+    Of the trusted documents (see ``trusted_ids``), all for the model are counted. Documents are dealt by
     hash into blocks of about ``block_rows``. A block asks for its distinct n-grams, those of all
     blocks are looked up once by joins with the sharded tables, and the answers meet the block's
     texts, so texts are shuffled once and no task holds the model.
     """
     ship(docs.sparkSession)
-    ids = materialize(trusted_ids(labels), "trusted").withColumn("_trusted", F.lit(True))
+    ids = materialize(trusted_ids(labels), "trusted")
     few = ids.count() <= broadcast_ids  # a checked size; else both sides are shuffled
-    with_ids = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
-    counts = with_ids.where("_trusted AND text IS NOT NULL").select("text").mapInArrow(_count, "g long, c long")
+    with_ids = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.coalesce("_trusted", F.lit("no")).alias("_trusted"))
+    counts = with_ids.where("_trusted = 'model' AND text IS NOT NULL").select("text").mapInArrow(_count, "g long, c long")
     model = Model(counts.groupBy("g").agg(F.sum("c").alias("c")))
 
     blocks = max(parallelism(docs.sparkSession), -(-docs.count() // block_rows))
@@ -169,7 +173,7 @@ def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, b
     known = model.probabilities(asked.select("g").distinct())
     answers = asked.join(known, "g").select("_block", "g", F.log("p").alias("logp"))
     names = [*docs.columns, "_trusted"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_trusted", T.BooleanType()), T.StructField("_n", T.LongType()), T.StructField("_logp", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_trusted", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_logp", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         g = right.column("g").to_numpy()
@@ -188,17 +192,17 @@ def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, b
     return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
 
 
-def judged(found: DataFrame, quantile: float = 0.99) -> DataFrame:
+def judged(found: DataFrame, quantile: float = 0.99, slack: float = 0.05) -> DataFrame:
     """Add ``perplexity``, ``threshold`` and ``kept`` to a table of ``scored``.
 
     The threshold is, for each language, the least perplexity (to a thousandth) that ``quantile`` of
-    its trusted documents do not exceed; languages without trusted documents take that of all; with
-    no trusted document at all nothing is rejected. A null or empty text has no perplexity and is
-    rejected. The counts behind the quantiles are of all trusted documents.
+    its trusted documents outside the model do not exceed, and ``slack`` more; languages without
+    any take that of all; with none at all nothing is rejected. A null or empty text has no perplexity
+    and is rejected. The counts behind the quantiles are of all those documents.
     """
     log_ppl = -F.col("_logp") / F.col("_n")
     found = found.withColumn("_bin", F.when(F.col("_n") > 0, F.ceil(log_ppl * BINS)))
-    trusted = found.where("_trusted AND _bin IS NOT NULL")
+    trusted = found.where("_trusted = 'threshold' AND _bin IS NOT NULL")
     by_lang = trusted.groupBy(F.coalesce("lang", F.lit("")).alias("_lang"), "_bin").agg(F.count(F.lit(1)).alias("_c"))
     both = by_lang.unionByName(by_lang.groupBy("_bin").agg(F.sum("_c").alias("_c")).withColumn("_lang", F.lit(None).cast("string")))
     so_far = F.sum("_c").over(Window.partitionBy("_lang").orderBy("_bin"))
@@ -208,7 +212,7 @@ def judged(found: DataFrame, quantile: float = 0.99) -> DataFrame:
     own, general = cut.where("_lang IS NOT NULL"), cut.where("_lang IS NULL").select(F.col("_cut").alias("_all"))
     out = found.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(own, "_lang", "left")
     rows = general.collect()  # one number
-    limit = F.coalesce("_cut", F.lit(rows[0]["_all"] if rows else None).cast("long"))
+    limit = F.coalesce("_cut", F.lit(rows[0]["_all"] if rows else None).cast("long")) + int(np.ceil(np.log1p(slack) * BINS))
     return (
         out.withColumn("perplexity", F.when(F.col("_n") > 0, F.exp(log_ppl)))
         .withColumn("threshold", F.exp(limit / BINS))
