@@ -9,6 +9,7 @@ from ..functions import exprs as X
 from ..model import RELATION_KEY, RELATIONS, STUB_PROVIDER, STUB_VERSION, names
 from .resolution import SITE, unresolved
 from .scans import symbols_at_position
+from .tables import written
 
 
 def is_stub_relation():
@@ -63,7 +64,7 @@ def worklist(relations: DataFrame, deferred: DataFrame, symbols: DataFrame, extr
     unresolved self-call in a class is a mixin site, unless another fact resolved that very site; a
     mixin site stands in for a plain one there.
     """
-    open_ = unresolved(deferred, symbols)
+    open_ = written(unresolved(deferred, symbols))  # used three times below
     ambiguous = relations.where("predicate IN ('calls', 'inherits') AND confidence = 'AMBIGUOUS'").where(~is_stub_relation())
     nothing = F.lit(None).cast("string")
     plain = ambiguous.select(*SITE, "predicate").unionByName(open_.where("deferred_kind <> 'self_call' OR enclosing_class IS NULL").select(*SITE, F.when(F.col("deferred_kind") == "inherit", "inherits").otherwise("calls").alias("predicate"))).distinct()
@@ -87,13 +88,13 @@ def accepted(incoming: DataFrame, live: DataFrame) -> DataFrame:
     return both.where(F.col("_rank").isNull() | (X.confidence_rank("confidence") <= F.col("_rank"))).select(*incoming.columns)
 
 
-def retired(written: DataFrame, live: DataFrame, preserve_siblings: bool = False) -> DataFrame:
+def retired(taken: DataFrame, live: DataFrame, preserve_siblings: bool = False) -> DataFrame:
     """Live ambiguous rows that accepted ones stand in for: same source, site and predicate, another
     target; beside an ambiguous one, only targets that this pass does not name."""
     if preserve_siblings:
         return live.limit(0)
     site = [c for c in RELATION_KEY if c != "target"]
-    targets = written.groupBy(*site).agg(F.min(X.confidence_rank("confidence")).alias("_best"), F.collect_set("target").alias("_targets"), F.collect_set(F.when(F.col("confidence") != "AMBIGUOUS", F.col("target"))).alias("_sure"))
+    targets = taken.groupBy(*site).agg(F.min(X.confidence_rank("confidence")).alias("_best"), F.collect_set("target").alias("_targets"), F.collect_set(F.when(F.col("confidence") != "AMBIGUOUS", F.col("target"))).alias("_sure"))
     both = live.where("confidence = 'AMBIGUOUS'").join(targets, site)
     certain = (F.col("_best") < 2) & ((F.size("_sure") > 1) | ~F.array_contains("_sure", F.col("target")))
     unnamed = ~F.array_contains("_targets", F.col("target"))

@@ -612,7 +612,7 @@ def _(p):
 @query(
     "debounce_sessions", None,
     """WITH e AS (SELECT 'w' || (user_id % 20) AS worktree_id, ts, 'f' || (user_id % 7) || '.py' AS path FROM events),
-m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worktree_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY worktree_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY worktree_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT worktree_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths, count(*) AS n_events FROM s GROUP BY worktree_id, g""",
 )

@@ -76,7 +76,7 @@ class RepoSource(DataSource):
     """``spark.read.format("pyrepo").load(root)``: Spark's own file sources hide names like ``__init__.py``.
 
     Files are listed by the driver and read by the tasks, PER_TASK in each, so ``root`` is a folder that
-    all executors share. Options: ``path_glob``; ``paths``, separated by line ends.
+    all executors share. Options: ``path_glob``; ``only``, paths separated by line ends.
     """
 
     @classmethod
@@ -87,7 +87,7 @@ class RepoSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RepoReader:
-        paths = self.options.get("paths")
+        paths = self.options.get("only")
         return RepoReader(self.options["path"], self.options.get("path_glob"), paths.split("\n") if paths is not None else None)
 
 
@@ -98,7 +98,7 @@ def read_repo(spark: SparkSession, root: str, path_glob: str | None = None, path
     if path_glob is not None:
         reader = reader.option("path_glob", path_glob)
     if paths is not None:
-        reader = reader.option("paths", "\n".join(paths))
+        reader = reader.option("only", "\n".join(paths))
     return reader.load(root)
 
 

@@ -25,7 +25,7 @@ def relevant(events: DataFrame, rules: list[Rule] = ()) -> DataFrame:
 def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str | None = "10 seconds") -> DataFrame:
     """``worktree_id, start, last, paths``: the distinct paths of each burst of a worktree's events.
 
-    A burst ends with a pause of ``gap``. On a stream in append mode it is emitted once the watermark has
+    A burst ends with a pause longer than ``gap``. On a stream in append mode it is emitted once the watermark has
     passed it; a trailing burst waits for a later event.
     """
     timed = events.withWatermark("ts", late) if late is not None else events
