@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .common import materialize
 from .graph import components
-from .shingles import long_lists, mix, shingles
+from .shingles import long_lists, mix, release, shingles, slices
 
 BANDS, ROWS = 32, 6
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 4096, dtype=np.uint64)
@@ -50,7 +50,7 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, prints, keys = [], [], []
         for s in shingles(batch.column(1)):
             sizes.append(len(s))
@@ -58,13 +58,15 @@ def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Itera
             keys.append(band_keys(sketch(s, bands * rows), bands, rows) if len(s) else s)
         both = np.array(prints, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), long_lists(keys)], names=["doc_id", "n", "fp", "fp2", "keys"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = list(shingles(batch.column(1)))
         prints = np.array([mix(s).sum(dtype=np.uint64) for s in found], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), long_lists(found)], names=["id", "fp", "items"])
+    release()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = 1_000_000) -> DataFrame:

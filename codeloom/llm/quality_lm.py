@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..ship import ship
 from .common import materialize, parallelism
+from .shingles import release
 
 ORDER = 4
 UNITS = 1 << 16
@@ -187,6 +188,7 @@ def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, b
                 total += float(logp[np.searchsorted(g, part)].sum())
             sums.append(total)
             sizes.append(n)
+        release()
         return left.select(names).append_column("_n", pa.array(sizes, pa.int64())).append_column("_logp", pa.array(sums, pa.float64()))
 
     return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)

@@ -7,6 +7,8 @@ are taken for equal with a chance of n * n / 2**65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -118,6 +120,20 @@ def shingles(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, which bounds what numpy holds at once."""
+    for batch in batches:
+        for lo in range(0, max(1, len(batch)), rows):
+            yield batch.slice(lo, rows)
+
+
+def release() -> None:
+    """Give unused memory of a finished task back, as workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def long_lists(rows: list[np.ndarray]) -> pa.Array:
     """An Arrow array of lists of 64-bit numbers."""
     edges = np.cumsum([0, *map(len, rows)], dtype=np.int32)

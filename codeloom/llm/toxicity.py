@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .shingles import marked_words
+from .shingles import marked_words, release, slices
 
 BITS = 18  # words are told apart by so many bits of their hashes
 FOLDS = 5
@@ -79,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 2
     texts = short.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             features, lengths, edges = sentences(batch.column(1))
             cut = np.cumsum(np.r_[0, lengths])[edges]
             yield pa.RecordBatch.from_arrays([
@@ -137,12 +137,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         own = Model(weights.astype(np.float64), bias)
-        for batch in batches:
+        for batch in slices(batches):
             p, edges = own.sentence_scores(batch.column(2))
             total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
             many = np.concatenate([[0], np.cumsum(p >= 0.5)])
             out = np.clip(-np.expm1(total[edges[1:]] - total[edges[:-1]]), 0.0, 1.0) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(np.diff(edges)), pa.array(many[edges[1:]] - many[edges[:-1]])], names=["doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending"])
+        release()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return read.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long")
