@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": near_dup.oracle(), "op8_quality_rules": quality_rules.oracle()}
+    return {"op2_near_dup": near_dup.oracle(), "op6_secrets": secrets.oracle(), "op8_quality_rules": quality_rules.oracle()}

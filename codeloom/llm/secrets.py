@@ -241,3 +241,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KI
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)
+
+
+def oracle(kinds: tuple[Kind, ...] = KINDS) -> str:
+    """``digest`` as DuckDB SQL over ``documents``: every regex over every text."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for i, k in enumerate(kinds):
+        regex = quoted(k.regex)
+        parts.append(f"""SELECT r, {i} AS k, '{k.name}' AS name, list_sum(b[1:i]) + coalesce(list_sum(w[1:i - 1]), 0) AS s, w[i] AS n FROM (
+    SELECT r, list_transform(string_split_regex(t, {regex}), lambda x: length(x)) AS b, list_transform(regexp_extract_all(t, {regex}), lambda x: length(x)) AS w,
+           list_transform(regexp_extract_all(t, {regex}, {k.group}), lambda x: length(x)) AS g, unnest(generate_series(1, len(w))) AS i FROM texts) WHERE g[i] >= {k.least}""")
+    union = "\n  UNION ALL ".join(parts)
+    joined = "coalesce(string_agg({0}name || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, k){1}, '')"
+    base = joined.format("", f" FILTER (WHERE k < {len(BASE)})")
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{k.name}" for i, k in enumerate(BASE))
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({union})
+SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {joined.format("", " FILTER (WHERE k IS NOT NULL)")} AS spans
+FROM texts LEFT JOIN found USING (r) GROUP BY r, doc_id"""
