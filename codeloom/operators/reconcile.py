@@ -34,9 +34,17 @@ def diff(live: DataFrame, new: DataFrame, key: list[str], content: list[str]) ->
     return joined.withColumn("action", action)
 
 
-def numbered(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """History ids from ``start``; one ordered pass over what one batch appends."""
-    return rows.withColumn("history_id", F.row_number().over(Window.orderBy(*order)) + F.lit(start))
+def numbered(rows: DataFrame, start: int, key: list[str], buckets: int = 1024) -> DataFrame:
+    """History ids above ``start``, without gaps; a batch has one row of a key, so any order will do.
+
+    Rows are numbered within hashed buckets, and each bucket begins where those before it end; only the
+    ``buckets`` counts meet in one task. ``rows`` is read twice, so it should be a table.
+    """
+    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy(*key, "tombstone")))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c")).select("_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    return local.join(first, "_bucket").withColumn("history_id", F.col("_n") + F.col("_first") + F.lit(start)).drop("_bucket", "_n", "_first")
 
 
 def reconcile(live: DataFrame, new: DataFrame, prior: Column, key: list[str], content: list[str], observed_at: str, extra_removed: DataFrame | None = None) -> Changes:

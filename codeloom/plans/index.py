@@ -49,9 +49,9 @@ def index_files(store: Store, files: DataFrame, observed_at: str, prune_inferred
     resolved = relations_of(facts).unionByName(resolution.resolve(deferred_of(facts), known)).dropDuplicates(RELATION_KEY)
     sym, rel = reconcile.index_batch(live, edges, new, written(resolved), paths, observed_at, prune_inferred)
     start = store.meta()["history_id"]
-    told = written(reconcile.numbered(sym.appended, start, ["id"]).select(*names(SYMBOLS_HISTORY)))
+    told = written(reconcile.numbered(written(sym.appended), start, ["id"]).select(*names(SYMBOLS_HISTORY)))
     n = told.count()
-    told_edges = reconcile.numbered(rel.appended, start + n, RELATION_KEY).select(*names(RELATIONS_HISTORY))
+    told_edges = reconcile.numbered(written(rel.appended), start + n, RELATION_KEY).select(*names(RELATIONS_HISTORY))
     state = store.read("file_state").join(paths, "path", "left_anti")
     if "mtime_ns" in files.columns:
         seen = with_hash(files.where("source IS NOT NULL")).join(paths, "path", "left_semi").select("path", "mtime_ns", "content_hash")
@@ -83,6 +83,6 @@ def enrich(store: Store, files: DataFrame, observed_at: str, locations: DataFram
     merged = written(enrichment.merge(merged, enrichment.mixin_calls(sites, symbols, merged, observed_at)))
     if locations is not None:
         merged = enrichment.merge(merged, enrichment.from_locations(locations, symbols, *provider, observed_at))
-    fresh = merged.join(live.select(*RELATION_KEY), RELATION_KEY, "left_anti").withColumn("tombstone", F.lit(False))
+    fresh = written(merged.join(live.select(*RELATION_KEY), RELATION_KEY, "left_anti").withColumn("tombstone", F.lit(False)))
     appended = reconcile.numbered(fresh, store.meta()["history_id"], RELATION_KEY).select(*names(RELATIONS_HISTORY))
     store.commit({"relations": merged}, {"relations_history": appended}, bump=False)
