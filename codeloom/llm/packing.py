@@ -100,11 +100,12 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
     return [x for p in open_.values() for x in p]
 
 
-def completions(counts: dict[int, int], room: int, most: int, nodes: int) -> list[tuple[int, Pattern]]:
-    """Undominated fillings of ``room``, least waste first: (waste, pattern).
+def completions(counts: dict[int, int], room: int, most: int, nodes: int) -> tuple[list[tuple[int, Pattern]], int]:
+    """Undominated fillings of ``room``, least waste first: (waste, pattern); and the nodes looked at.
 
     A filling is dominated if one of its items could be exchanged for a larger unused one.
     """
+    allowed = nodes
     kinds = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
     rest = [0] * (len(kinds) + 1)
     for i in range(len(kinds) - 1, -1, -1):
@@ -119,8 +120,6 @@ def completions(counts: dict[int, int], room: int, most: int, nodes: int) -> lis
         if i == len(kinds) or r == 0:
             if not _dominated(dict(chosen), counts, kinds, r):
                 found.append((r, chosen))
-                if r == 0 and most == 1:
-                    break
             continue
         if rest[i] <= r:  # all that is left fits
             found.append((r - rest[i], (*chosen, *((n, counts[n]) for n in kinds[i:]))))
@@ -129,57 +128,46 @@ def completions(counts: dict[int, int], room: int, most: int, nodes: int) -> lis
         for k in range(0, min(counts[n], r // n) + 1):  # the last is looked at first
             stack.append((i + 1, r - k * n, (*chosen, (n, k)) if k else chosen))
     found.sort(key=lambda x: (x[0], [(-n, -k) for n, k in x[1]]))
-    return found[:most] or [(room, ())]
+    return found[:most] or [(room, ())], allowed - nodes
 
 
 def _dominated(used: dict[int, int], counts: dict[int, int], kinds: list[int], waste: int) -> bool:
     return any(n < m <= n + waste and used.get(m, 0) < counts[m] for n in used for m in kinds) if waste else False
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 2000, tries: int = 40) -> list[tuple[Pattern, int]]:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 2000, work: int = 2_000_000) -> list[tuple[Pattern, int]]:
     """Pack ``counts`` items of each length into sequences of ``size``; as few as the search finds.
 
     Best-fit decreasing gives the incumbent. Then the largest item left is completed by its
     undominated fillings, in order of waste, and a filling is used as often as the counts allow, so
     that each step ends a length: the depth is bounded by ``size``, not by the rows. A branch ends
     once its waste exceeds what an improvement on the incumbent may waste in all. The search stops
-    at the lower bound, or after ``tries`` leaves.
+    at the lower bound, or after ``work`` nodes, some seconds.
     """
     total = sum(n * c for n, c in counts.items())
     best = best_fit(counts, size)
-    bins = sum(k for _, k in best)
-    low = lower_bound(counts, size)
-    leaves = 0
-
-    def filled(state: dict[int, int], at: int) -> tuple[list[tuple[int, Pattern]], int]:
-        fits = completions({**state, at: state[at] - 1}, size - at, 2, nodes)
-        return fits, at
-
-    start = {n: c for n, c in counts.items() if c}
-    stack = [(start, [], 0)] if bins > low else []
-    while stack and bins > low and leaves < tries:
+    bins, low = sum(k for _, k in best), lower_bound(counts, size)
+    stack = [({n: c for n, c in counts.items() if c}, [], 0)] if bins > low else []
+    while stack and bins > low and work > 0:
         state, done, waste = stack.pop()
-        while state:
-            at = max(state)
-            fits, _ = filled(state, at)
+        while state and work > 0:
+            largest = max(state)
+            fits, used = completions({**state, largest: state[largest] - 1}, size - largest, 2, nodes)
+            work -= used + 1
             options = []
             for lost, items in fits:
-                use: dict[int, int] = {at: 1}
+                use: dict[int, int] = {largest: 1}
                 for n, k in items:
                     use[n] = use.get(n, 0) + k
                 times = min(state[n] // k for n, k in use.items())
-                last = {n: c - times * use.get(n, 0) for n, c in state.items()}
-                if sum(last.values()) == 0:
-                    lost, cost = 0, waste
-                else:
-                    cost = waste + lost * times
+                left = {n: c - times * use.get(n, 0) for n, c in state.items() if c > times * use.get(n, 0)}
+                cost = waste + lost * times if left else waste
                 if cost <= (bins - 1) * size - total:
-                    options.append(({n: c for n, c in last.items() if c}, [*done, (tuple(sorted(use.items(), reverse=True)), times)], cost))
+                    options.append((left, [*done, (tuple(sorted(use.items(), reverse=True)), times)], cost))
             if not options:
                 break
             stack += options[1:][::-1]
             state, done, waste = options[0]
-        leaves += 1
         if not state and (n := sum(k for _, k in done)) < bins:
             best, bins = done, n
     return best
