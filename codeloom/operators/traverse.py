@@ -13,6 +13,7 @@ from ..model import CONFIDENCES, DEFAULT_DEPTH, DEFAULT_NODE_CAP, GRAPHS, Invali
 from .tables import written
 
 EDGE_ORDER = ["site_file", "site_line", "site_col", "source", "target", "predicate"]
+FEW = 10_000  # a node cap up to which levels are held by the driver and broadcast
 NODE = "id string, level int, via_order struct<current:string,site_file:string,site_line:int,site_col:int,source:string,target:string,predicate:string>, discovery_predicate string, discovery_confidence string"
 
 
@@ -43,9 +44,18 @@ def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bo
     """
     check_bounds(node_cap, depth_clamp)
     spark = relations.sparkSession
+
+    def settled(df: DataFrame) -> tuple[DataFrame, int]:
+        """A level and its size: rows of the driver under a small cap, else a written table."""
+        if node_cap > FEW:
+            table = written(df)
+            return table, table.count()
+        rows = df.collect()
+        return F.broadcast(spark.createDataFrame(rows, df.schema)), len(rows)
+
     here, there = ("target", "source") if upstream else ("source", "target")
     edges = relations.where(F.col("predicate").isin(*sorted(predicates))).select(*EDGE_ORDER, "confidence", F.col(here).alias("current"), F.col(there).alias("neighbor"))
-    visited = written(spark.createDataFrame([(root, 0, None, None, None)], NODE))
+    visited, _ = settled(spark.createDataFrame([(root, 0, None, None, None)], NODE))
     size, level, truncated, frontier = 1, 0, False, visited
     while level < depth_clamp:
         met = edges.join(frontier.select(F.col("id").alias("current")), "current")
@@ -53,17 +63,15 @@ def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bo
         first = met.groupBy("neighbor").agg(F.min(via).alias("via_order"), F.min_by("confidence", via).alias("discovery_confidence"))
         new = first.join(visited.select(F.col("id").alias("neighbor")), "neighbor", "left_anti")
         new = new.select(F.col("neighbor").alias("id"), F.lit(level + 1).alias("level"), "via_order", F.col("via_order.predicate").alias("discovery_predicate"), "discovery_confidence")
-        best = written(new.orderBy("via_order").limit(node_cap - size + 1))
-        n = best.count()
+        best, n = settled(new.orderBy("via_order").limit(node_cap - size + 1))
         if n > node_cap - size:
             truncated = True
-            best = best.orderBy("via_order").limit(node_cap - size)
-            n = node_cap - size
+            best, n = settled(best.orderBy("via_order").limit(node_cap - size))
         level += 1
         if not n:
             frontier = best.limit(0)
             break
-        frontier = best = written(best) if truncated else best
+        frontier = best
         visited = visited.unionByName(best)
         size += n
     if not truncated and not frontier.isEmpty():
