@@ -11,6 +11,8 @@ from .common import SEPARATORS, materialize
 
 BINS = 1 << 16  # ranges of each leaf's seeded order: the highest 16 bits of a hash
 
+FEW_LEAVES = 10_000  # so many leaves, some 2 MB, are broadcast
+
 
 @dataclass
 class Node:
@@ -134,7 +136,7 @@ def mix(
     last = {tuple(r[k] for k in keys): tuple(r["_last"]) for r in exact}
     plan = [(*path, budgets[path], *last.get(path, (-1, -1)), *edge.get(path, (-1, -1, 0))) for path in supply]
     where = spark.createDataFrame(plan, f"{schema}, _budget long, _last_epoch int, _last_bin int, _end_epoch int, _end_bin int, _from long")
-    placed = copies.join(where, keys)  # broadcast by Spark's own threshold, else shuffled
+    placed = copies.join(F.broadcast(where) if len(plan) <= FEW_LEAVES else where, keys)  # a checked size, else both are shuffled
     whole = placed.where("_epoch < _last_epoch OR (_epoch = _last_epoch AND _bin <= _last_bin)")
     part = placed.where("_epoch = _end_epoch AND _bin = _end_bin")
     run = Window.partitionBy(*keys).orderBy("_order", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)

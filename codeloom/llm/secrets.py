@@ -11,7 +11,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 
 
 Query = bool | str | tuple  # True: all texts; a trigram; ("and" | "or", queries)
@@ -184,17 +184,19 @@ def _matches(text: Column, kind: Kind, order: int) -> Column:
     return F.when(F.rlike(text, F.lit(kind.regex)), spans(sizes)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, keep: list[str] | None = None, broadcast_keys: int = 1_000_000) -> DataFrame:
     """``docs`` (the columns in ``keep``, by default ``doc_id``) with ``spans``: an array of structs
     (start, kind, end) by start, then kind as listed.
 
-    Candidates come from the index and meet the texts by a hash of ``doc_id``; documents that share
+    Candidates come from the index and meet the texts by a hash of ``doc_id``: broadcast while there are
+    at most ``broadcast_keys`` of them (a checked size of some 16 MB), else both sides are shuffled. Documents that share
     an id, or have none, share their candidates, which costs time only, as every candidate is
     verified by its regex. A null text is empty and has no span. Rows are never dropped or merged.
     """
     docs = docs.select(*dict.fromkeys([*(keep or ["doc_id"]), "doc_id", "text"]))
-    found = candidates(docs, kinds)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id")).join(found, "_key", "left")
+    found = materialize(candidates(docs, kinds), "secret-candidates")
+    few = found.count() <= broadcast_keys
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id")).join(F.broadcast(found) if few else found, "_key", "left")
     text, mask = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("_kinds"), F.lit(0))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = [
@@ -227,8 +229,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KI
     No document goes. A text without spans, null or empty, stays as it is.
     """
     columns = docs.columns
-    found = scan(docs, kinds, keep=columns)
-    text = F.col("text")
+    inner = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(columns)}  # so that no name clashes
+    found = scan(docs.select(*[F.col(c).alias(n) for c, n in inner.items()]), kinds, keep=list(inner.values()))
+    text, any_ = F.col("text"), F.size("spans") > 0
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -237,10 +240,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KI
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+    found = found.select(*[F.when(any_, clean).otherwise(text).alias("text") if n == "text" else F.col(n) for n in inner.values()], any_.alias("any"))
+    told = {}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        told["n_chars"] = F.when(F.col("any"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(inner["n_chars"]))
+    return found.select(*[told.get(c, F.col(n)).alias(c) for c, n in inner.items()])
 
 
 def oracle(kinds: tuple[Kind, ...] = KINDS) -> str:

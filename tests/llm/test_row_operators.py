@@ -68,11 +68,18 @@ def test_trigram_queries_are_necessary(kind):
     assert q is True or not holds(q, "nothing of the kind in here")
 
 
+def test_both_ways_to_meet_candidates_agree(docs_of):
+    a, b = ({(r["doc_id"], str(r["spans"])) for r in secrets.scan(docs_of(TEXTS), broadcast_keys=n).collect()} for n in (0, 10**6))
+    assert a == b and len(a) == len(TEXTS)
+
+
 def test_redaction_keeps_documents(docs_of):
     out = {r["doc_id"]: r for r in secrets.redact(docs_of(TEXTS)).collect()}
     assert len(out) == len(TEXTS) and out[0]["text"] is None and out[13]["text"] == TEXTS[13]
     assert "hunter22" not in out[9]["text"] and "0123456789abcdef" not in out[9]["text"] and " and " in out[9]["text"]
     assert out[9]["n_chars"] == len(out[9]["text"])
+    clash = docs_of(TEXTS).selectExpr("*", "1 AS spans", "2 AS _key", "3 AS c0")
+    assert secrets.redact(clash).columns == clash.columns and {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(clash).collect()} == {(r["doc_id"], r["text"], r["n_chars"]) for r in out.values()}
 
 
 @pytest.mark.parametrize("slack", [0.0, 0.25])
