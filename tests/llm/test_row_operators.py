@@ -183,3 +183,12 @@ def test_empty_tables_and_extra_columns(docs_of):
         assert f(docs_of(TEXTS).limit(0)).count() == 0
         assert f(clash).select("doc_id").distinct().count() == len(TEXTS)
         assert f(docs_of(TEXTS).selectExpr("cast(null AS bigint) AS doc_id", "text")).count() >= len(TEXTS)
+
+
+def test_ids_of_a_text_with_special_tokens():
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y <|endoftext|", " <|endoftext|>  z"):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
