@@ -179,12 +179,13 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN least ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
-def keep_first(docs: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, broadcast_ids: int = 1_000_000, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """``docs`` with one row of each component, that of the least id; rows without an id all stay.
 
     Rows that share the least id are copies of one document too, so only one of them stays.
+    Two sets of a similarity of 0.8 miss each other in all of the bands with a chance of 1.3e-7.
     """
-    found = materialize(near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"), "verdicts")
+    found = materialize(near_duplicates(docs, percent, bands, rows).where("doc_id IS NOT NULL").select("doc_id", "kept"), "verdicts")
 
     def but(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         few = ids.count() <= broadcast_ids  # a checked size of some 16 MB; else both sides are shuffled

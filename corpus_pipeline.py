@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least id."""
-    return near_dup.keep_first(docs)
+    """One document of each group of near copies, of a similarity of 0.8 or more, stays: that of the least id."""
+    return near_dup.keep_first(docs, percent=80)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,11 @@ def test_run_is_the_stages_in_turn(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 100
     assert sets_of("a b") == {("a", "b")}
+
+
+def test_near_copies_go_from_four_fifths(spark, docs_of):
+    w = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = " ".join([*w[:94], *(f"x{i}" for i in range(10))])  # shares 90 of 110
+    far = " ".join([*w[:84], *(f"y{i}" for i in range(20))])  # shares 80 of 120
+    kept = corpus_pipeline.near_duplicates(spark, docs_of([" ".join(w), near, far]), "")
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2}
