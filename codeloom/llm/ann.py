@@ -83,7 +83,8 @@ def nearest(
 
     Equal vectors are hashed and scored once; of each, the ``k + 1`` smallest ids suffice. Every
     vector is in one bucket of each table. A query visits a table's buckets in the order of their
-    estimated success until their share of it reaches a level, which ``trial`` queries set: against
+    estimated success until their share of it reaches a level and they hold enough vectors for ``k``
+    rows (all, if there are fewer). ``trial`` queries set the level: against
     all rows, exactly, the levels of all tables together found ``aim`` of their neighbours. The
     candidates of all tables are merged and reranked by exact products. Buckets are gathered into, or
     cut into, blocks of about ``block`` vectors, so a task's work does not grow with the largest; in a
@@ -126,10 +127,11 @@ def nearest(
 
     stored = distinct.mapInPandas(hashed, "table int, bucket long, id long, x array<double>")
     directory = stored.groupBy("table", "bucket").count().collect()  # at most tables * CELLS ** MOST_FUNCTIONS rows
-    held, first_block, cut = [], [], []
+    held, sizes_of, first_block, cut = [], [], [], []
     for t in range(tables):
         counts = sorted((r["bucket"], r["count"]) for r in directory if r["table"] == t)
         held.append(np.array([b for b, _ in counts], dtype=np.int64))
+        sizes_of.append(np.array([n for _, n in counts], dtype=np.int64))
         at, full, firsts, parts = -1, block, [], []
         for _, n in counts:
             if full + n > block:
@@ -147,7 +149,8 @@ def nearest(
                 lifted = model.lifted(_matrix(part["q"]), True)
                 for t in range(tables):
                     order, mass = _probed(model.success(t, lifted, held[t]))
-                    take = np.c_[np.ones(len(part), dtype=bool), mass[:, :-1] < level]
+                    covered = np.cumsum(sizes_of[t][order], axis=1)  # different vectors; the query's own may be among them
+                    take = np.c_[np.ones(len(part), dtype=bool), (mass[:, :-1] < level) | (covered[:, :-1] < k + 1)]
                     out = []
                     for i, (query_id, q) in enumerate(zip(part["query_id"], part["q"])):
                         seen: dict[int, list[int]] = {}

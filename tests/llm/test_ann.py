@@ -51,3 +51,15 @@ def test_few_odd_and_no_vectors(spark):
     assert ann.nearest(frame(spark, rows[:0])).count() == 0
     assert ann.nearest(frame(spark, [(1, [1.0])])).count() == 0
     assert ann.nearest(frame(spark, [(0, [1.0])])).count() == 0
+
+
+def test_queries_outside_hot_clusters_get_all_rows(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16))
+    x = centres[rng.integers(0, 20, 6000)] + 0.02 * rng.normal(size=(6000, 16))
+    far = rng.random(6000) < 0.02
+    x[far] = rng.normal(size=(int(far.sum()), 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)]
+    got = {r["query_id"]: r["count"] for r in ann.nearest(frame(spark, rows), per_bucket=6, aim=0.5).groupBy("query_id").count().collect()}
+    assert got == {q: 20 for q in range(0, 6000, 20)}
