@@ -177,6 +177,37 @@ def test_bin_completion_against_exhaustive_search():
         assert sum(t for _, t in packed) == exhaustive(items, size)
 
 
+def test_search_finds_less_than_best_fit():
+    """Where best-fit is above the bound: seven lengths that fit in threes, and random lengths."""
+    seven = {n: 100 for n in (345, 342, 341, 340, 339, 172, 171)}
+    assert sum(t for _, t in packing.best_fit(seven, 1024)) > 206 >= sum(t for _, t in packing.bin_completion(seven, 1024))
+    rnd, fewer = random.Random(3), 0
+    for _ in range(3):
+        counts = Counter(rnd.randrange(150, 500) for _ in range(300))
+        bins, first, low = (sum(t for _, t in f(counts, 1024)) for f in (packing.bin_completion, packing.best_fit, lambda c, s: [(0, packing.lower_bound(c, s))]))
+        assert low <= bins <= first
+        fewer += bins < first
+    assert fewer == 3
+
+
+def test_fillings_are_all_the_undominated_ones():
+    """Against all subsets: every filling that no exchange betters is listed, least waste first."""
+    rnd = random.Random(8)
+    for _ in range(40):
+        items, room = [rnd.randrange(1, 20) for _ in range(rnd.randrange(1, 8))], rnd.randrange(1, 40)
+        got = list(packing.fillings(Counter(items), room, packing.Work(10**6), room))
+        assert [w for w, _ in got] == sorted(w for w, _ in got)
+        every = {tuple(sorted(items[i] for i in range(len(items)) if m >> i & 1)) for m in range(1 << len(items))}
+        every = {s for s in every if sum(s) <= room}
+
+        def bettered(s):
+            rest, waste = Counter(items) - Counter(s), room - sum(s)
+            parts = [[s[i] for i in range(len(s)) if m >> i & 1] for m in range(1 << len(s))]
+            return any(sum(p) <= n <= sum(p) + waste and (len(p) != 1 or n > p[0]) for n in rest for p in parts)
+
+        assert {tuple(sorted(Counter(dict(p)).elements())) for _, p in got} == {s for s in every if not bettered(s)}
+
+
 def test_empty_tables_and_extra_columns(docs_of):
     clash = docs_of(TEXTS).selectExpr("*", "1 AS kept", "2 AS rank", "3 AS spans", "4 AS _arc", "5 AS length", "6 AS _key", "7 AS _kinds")
     for f in (quality_rules.quality_rules, secrets.digest, sharding.shard_documents, lambda d: packing.pack(d, tokenizer_path())):
