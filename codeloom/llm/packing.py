@@ -135,8 +135,8 @@ def _raised(sums: int, by: int) -> int:
 
 
 def _dominated(chosen: Pattern, counts: dict[int, int], waste: int) -> bool:
-    """Whether some of the items could be exchanged for one larger unused item that still fits, or
-    several for one of their sum: what stays outside would then be easier to place.
+    """Whether some of the items, or none, could be exchanged for one larger unused item that still fits,
+    or several for one of their sum: what stays outside would then be easier to place.
     """
     single = several = free = 0  # bit masks of lengths
     for n, k in chosen:
@@ -147,7 +147,7 @@ def _dominated(chosen: Pattern, counts: dict[int, int], waste: int) -> bool:
     for n, c in counts.items():
         if c > used.get(n, 0):
             free |= 1 << n
-    return bool((_raised(several, waste) | (_raised(single << 1, waste - 1) if waste else 0)) & free)
+    return bool((_raised(several, waste) | (_raised(single << 1 | 2, waste - 1) if waste else 0)) & free)
 
 
 def fillings(counts: dict[int, int], room: int, work: Work, most: int) -> Iterator[tuple[int, Pattern]]:
