@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import materialize
+from .common import materialize, ready
 
 CELLS = 4  # of each hash function; the outer two are open
 MOST_FUNCTIONS = 8  # so there are at most CELLS ** 8 = 65536 buckets in a table
@@ -92,7 +91,7 @@ def nearest(
     bucket sizes, at most 65536 for each table.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    ready(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id IS NOT NULL AND size(x) > 0")
     v = v.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("x", lambda c: c != 0))
     sizes = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()

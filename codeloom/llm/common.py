@@ -9,12 +9,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Word separators of every word-based contract: U+0020 and U+0009..U+000D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: ten thousand texts are tens of MB, held
+#: by the JVM and by Python at once for each core, and a freed buffer of that size stays with the process.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(4 << 20))}
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the Python workers, and bound what they are sent at once."""
+    ship(spark)
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key, default).rstrip("b") == default:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

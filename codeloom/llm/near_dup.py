@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import materialize
+from .common import materialize, ready
 from .graph import components
 from .shingles import long_lists, mix, release, shingles, slices
 
@@ -85,7 +84,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     of near copies so costs its size, linked or not.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     schema = "doc_id long, n long, fp long, fp2 long, keys array<long>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = materialize(texts.mapInArrow(lambda b: _sketched(b, bands, rows), schema), "sketches")

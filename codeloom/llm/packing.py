@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import materialize, ranked
+from .common import materialize, ranked, ready
 from .shingles import release, slices
 
 END = 2
@@ -360,7 +359,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
     to all tasks, and look up their place in a table bounded by ``size`` (see ``runs``).
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     cut = materialize(pieces(docs, tokenizer, size), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     dealt = runs(bin_completion(counts, size)) or [(0, 0, 0, 1, 0, 0)]

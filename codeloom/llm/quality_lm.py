@@ -7,6 +7,7 @@ units from high to low. Its contexts and suffixes are shifts and masks of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ship import ship
-from .common import materialize, parallelism
+from .common import materialize, parallelism, ready
 from .shingles import release
 
 ORDER = 4
@@ -145,34 +145,41 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return ids.withColumn("_trusted", F.when(F.pmod(F.xxhash64(F.lit("threshold"), "doc_id"), F.lit(5)) == 0, "threshold").otherwise("model"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, block_rows: int = 8192) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``_trusted``, ``_n`` (units) and ``_logp`` (of the text) for every document.
 
     Of the trusted documents (see ``trusted_ids``), all for the model are counted. Documents are dealt by
-    hash into blocks of about ``block_rows``. A block asks for its distinct n-grams, those of all
+    hash into blocks of about ``block_bytes`` of text. A block asks for its distinct n-grams, those of all
     blocks are looked up once by joins with the sharded tables, and the answers meet the block's
-    texts, so texts are shuffled once and no task holds the model.
+    texts, so texts are shuffled twice and no task holds the model. Rows equal in id and text have
+    one block: the asking task meets each such text once from each task before it, and to be scored a block of
+    twice the size or more is cut into parts, each of which gets the block's answers.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
     ids = materialize(trusted_ids(labels), "trusted")
     few = ids.count() <= broadcast_ids  # a checked size; else both sides are shuffled
     with_ids = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").select(*[docs[c] for c in docs.columns], F.coalesce("_trusted", F.lit("no")).alias("_trusted"))
     counts = with_ids.where("_trusted = 'model' AND text IS NOT NULL").select("text").mapInArrow(_count, "g long, c long")
     model = Model(counts.groupBy("g").agg(F.sum("c").alias("c")))
 
-    blocks = max(parallelism(docs.sparkSession), -(-docs.count() // block_rows))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    blocks = max(parallelism(spark), -(-int(docs.agg(F.sum(size)).collect()[0][0] or 0) // block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = with_ids.withColumn("_block", block).repartition(blocks, "_block")
+    sized = docs.select(block.alias("_block"), size.alias("_size")).groupBy("_block").agg(F.sum("_size").alias("_size"))
+    large = materialize(sized.where(F.col("_size") >= 2 * block_bytes).select("_block", F.ceil(F.col("_size") / block_bytes).cast("int").alias("_parts")), "large-blocks")
+    cut = not large.isEmpty()
 
-    def ask(table: pa.Table) -> pa.Table:
-        seen = np.zeros(0, dtype=np.int64)
-        for g in _packed(table.column("text")):
-            seen = np.union1d(seen, g)
-        return pa.table({"_block": pa.array(np.full(len(seen), table.column("_block")[0].as_py(), dtype=np.int32)), "g": seen})
-
-    asked = materialize(dealt.select("_block", "text").groupBy("_block").applyInArrow(ask, "_block int, g long"), "asked")
+    once = docs.select(block.alias("_block"), "text").where("text IS NOT NULL").mapInArrow(_once, "_block int, text string")
+    asked = materialize(once.repartition(blocks, "_block").mapInArrow(_asked, "_block int, g long"), "asked")
     known = model.probabilities(asked.select("g").distinct())
     answers = asked.join(known, "g").select("_block", "g", F.log("p").alias("logp"))
+    dealt, keys = with_ids.withColumn("_block", block), ["_block"]
+    if cut:
+        keys = ["_block", "_part"]
+        parts = F.coalesce("_parts", F.lit(1))
+        dealt = dealt.withColumn("_row", F.monotonically_increasing_id()).join(large, "_block", "left").withColumn("_part", F.pmod(F.xxhash64("_row"), parts).cast("int")).drop("_row", "_parts")
+        answers = answers.join(large, "_block", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     names = [*docs.columns, "_trusted"]
     schema = T.StructType([*docs.schema.fields, T.StructField("_trusted", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_logp", T.DoubleType())])
 
@@ -191,7 +198,42 @@ def scored(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 1_000_000, b
         release()
         return left.select(names).append_column("_n", pa.array(sizes, pa.int64())).append_column("_logp", pa.array(sums, pa.float64()))
 
-    return dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
+    return dealt.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(score, schema)
+
+
+def _once(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows without those equal to one that this task has passed on (of the last ``most``, at least)."""
+    seen: set[tuple[int, bytes]] = set()
+    for batch in batches:
+        keep = []
+        for i, (block, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            key = block, blake2b(text.as_buffer(), digest_size=16).digest()
+            if key not in seen:
+                seen = {key} if len(seen) >= most else seen
+                seen.add(key)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64())) if len(keep) < len(batch) else batch
+
+
+def _asked(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each block of a partition, as far as ``most`` can be held; the same may come again."""
+    held: dict[int, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for block, g in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, dtype=np.int32)), pa.array(g)], names=["_block", "g"])
+        held.clear()
+
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        for block in np.unique(of).tolist():
+            texts = batch.column(1).filter(pa.array(of == block))
+            for g in _packed(texts):
+                held[block] = np.union1d(held.get(block, g[:0]), g)
+        if sum(map(len, held.values())) > most:
+            yield from out()
+    yield from out()
+    release()
 
 
 def judged(found: DataFrame, quantile: float = 0.99, slack: float = 0.05) -> DataFrame:

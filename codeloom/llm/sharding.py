@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import materialize, ranked
+from .common import materialize, ranked, ready
 
 
 def ring(shards: int, virtual: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +80,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, virtual: int = 128, slack
     id, so that copies are neighbours and an arc with a third of all rows is dealt to many tasks.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     places, owners = ring(shards, virtual)
 
     @F.pandas_udf("int")

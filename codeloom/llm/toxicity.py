@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from .common import ready
 from .shingles import marked_words, release, slices
 
 BITS = 18  # words are told apart by so many bits of their hashes
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 2
     toxic examples is within four standard errors of the mean. Without labels of both kinds, no text
     is toxic.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(shares) < 2:
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts. Only ``doc_id`` and ``text`` are read.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 2 ** BITS numbers, 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The offending sentences: ``doc_id, start, end, score, sentence``; code points, end exclusive."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,12 +52,24 @@ def test_log_probabilities(spark, docs_of, few):
     model = {r["doc_id"] for r in quality_lm.trusted_ids(labels).where("_trusted = 'model'").collect()}
     assert 5 < len(model) < len(trusted)
     want = brute([texts[i] for i in trusted if i in model], texts)
-    got = {r["doc_id"]: r for r in quality_lm.scored(docs_of(texts), labels, broadcast_ids=10**6 if few else 0, block_rows=7).collect()}
+    got = {r["doc_id"]: r for r in quality_lm.scored(docs_of(texts), labels, broadcast_ids=10**6 if few else 0, block_bytes=100).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i]["_n"] == len(units(t or "")) and got[i]["_logp"] == pytest.approx(want[i], rel=1e-9)
 
 
+def test_equal_rows_are_cut_into_parts(spark):
+    """Rows equal in id and text share a block, which is scored in parts; null languages count as one."""
+    rows = [(None, "the same text again", None)] * 500 + [(i, f"text {i}", "en") for i in range(40)] + [(99, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], L)
+    whole = sorted((str(r["doc_id"]), str(r["text"]), r["_n"], round(r["_logp"], 9)) for r in quality_lm.scored(docs, labels).collect())
+    parts = quality_lm.scored(docs, labels, block_bytes=1000)
+    assert "_part" in parts._jdf.queryExecution().toString()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["_n"], round(r["_logp"], 9)) for r in parts.collect()) == whole and len(whole) == 541
+    assert quality_lm.quality(docs, labels).where("doc_id IS NULL").count() == 500
+
+
 def test_chunks_change_nothing(monkeypatch):
     text = "abcdefghijklmnop" * 3
     whole = [int(x) for g in quality_lm.grams(text) for x in g]
