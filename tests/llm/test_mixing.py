@@ -44,7 +44,7 @@ def test_prefixes_of_the_seeded_order(spark, docs_of, fraction, epochs):
     texts = [None, ""] + [" ".join("w" * rnd.randrange(1, 3) for _ in range(rnd.randrange(0, 30))) for _ in range(400)]
     docs = docs_of(texts).withColumn("source", F.when(F.rand(3) < 0.6, F.lit("src0")).otherwise(F.col("source"))).cache()
     weights = {("srceven",): 1.0, ("srcodd",): 4.0}
-    rows = docs.select("doc_id", "source", "lang", mixing.domain().alias("domain"), mixing.tokens().alias("n"), *[F.xxhash64(F.lit(11), F.lit(e), F.col("doc_id")).alias(f"e{e}") for e in range(epochs)]).collect()
+    rows = docs.select("doc_id", "source", "lang", mixing.domain().alias("domain"), mixing.tokens().alias("n"), *[F.xxhash64(F.lit(11), F.lit(e), F.xxhash64("doc_id", "text")).alias(f"e{e}") for e in range(epochs)]).collect()
     by = defaultdict(list)
     for r in rows:
         by[r["domain"], r["lang"], r["source"]].append(r)
@@ -65,6 +65,13 @@ def test_prefixes_of_the_seeded_order(spark, docs_of, fraction, epochs):
     assert all(n == 1 for n in got.values())
 
 
+def test_rows_without_id_are_spread(spark, docs_of):
+    """Rows of one id, or none, follow an order by their texts, and a part of them can be taken."""
+    docs = docs_of([f"a b {i}" for i in range(300)]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit("src0"))
+    got = mixing.mix(docs, {}, fraction=0.5).collect()
+    assert len(got) == 150 and len({r["text"] for r in got}) == 150
+
+
 def test_repeats_nulls_and_clashing_columns(spark, docs_of):
     assert mixing.mixed(docs_of([]).limit(0)).count() == 0
     rows = [(1, "a b"), (1, "a b"), (None, "c d e"), (2, None)]
