@@ -6,8 +6,11 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from ..ship import ship
 
@@ -34,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows of the driver, by Arrow: rows as such would start further Python workers."""
+    kinds = to_arrow_schema(DataType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds.types)] if rows else [pa.array([], t) for t in kinds.types], schema=kinds))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 

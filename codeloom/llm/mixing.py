@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, materialize
+from .common import SEPARATORS, local_table, materialize
 
 BINS = 1 << 16  # ranges of each leaf's seeded order: the highest 16 bits of a hash
+COARSE = 1 << 8  # as many of those at a time are one coarse range
 
 FEW_LEAVES = 10_000  # so many leaves, some 2 MB, are broadcast
 
@@ -99,49 +100,69 @@ def domain(source: str = "source") -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: dict[tuple[str, ...], float], fraction: float = 0.5, epochs: int = 1, seed: int = 11, levels: tuple[Column, ...] | None = None,
+    docs: DataFrame, weights: dict[tuple[str, ...], float], fraction: float = 0.5, epochs: int = 1, seed: int = 11, levels: tuple[Column, ...] | None = None, size: Column | None = None, content: Column | None = None,
 ) -> DataFrame:
     """``docs`` as mixed: their columns, with ``mix_epoch`` and ``mix_tokens`` (replaced where present).
 
-    The budget is ``fraction`` of all tokens (words), dealt through the tree of domain, language and
-    source (or ``levels``). A leaf's documents follow each other in a seeded order, a new one in every
+    The budget is ``fraction`` of all tokens (words, or ``size``), dealt through the tree of domain, language
+    and source (or ``levels``). A leaf's documents follow each other in a seeded order, a new one in every
     epoch, and it takes the documents that begin within its budget: so at most the last one exceeds it,
-    and none comes more than ``epochs`` times. Null levels count as "". Repeated rows, and rows
-    without an id, are taken each by itself. Documents without words take no budget and follow the
-    same order.
+    and none comes more than ``epochs`` times. The order is a hash of id and text (or ``content``), so rows
+    without an id, or of one id, are spread over it. Null levels count as "". Repeated rows are taken each by
+    itself. Documents without words take no budget and follow the same order.
 
     The driver gets one row for each leaf, whose number is that of the sources and languages. The
-    order is cut into BINS ranges of a hash in each leaf and epoch; all ranges before the one where the
-    budget ends are taken whole, and only in that one are documents summed up one by one, so no leaf,
-    be it a third of all rows, comes to one task, and texts are not shuffled.
+    order is cut into BINS fine ranges in COARSE coarse ones of a hash in each leaf and epoch. All ranges
+    before the one where the budget ends are taken whole, first the coarse ones, then the fine ones of the last
+    coarse one, and only in the last fine one are documents summed up one by one, so no leaf, be it a
+    third of all rows, comes to one task, and texts are not shuffled. Texts are counted once for the
+    ranges; later only where a row is returned with its count, or lies in a last range.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("mix_epoch", "mix_tokens")]
-    levels = levels or (domain(), F.col("lang"), F.col("source"))
+    levels, size, content = levels or (domain(), F.col("lang"), F.col("source")), tokens() if size is None else size, F.col("text") if content is None else content
     keys = [f"_l{k}" for k in range(len(levels))]
-    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").alias("_id"), tokens().alias("_n"), *[F.coalesce(level, F.lit("")).alias(k) for k, level in zip(keys, levels)])
-    copies = own.withColumn("_epoch", F.explode(F.array(*map(F.lit, range(epochs)))) if epochs > 1 else F.lit(0))
-    copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_id")).withColumn("_bin", F.shiftrightunsigned("_order", 48).cast("int"))
+    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    leaf = [F.coalesce(level, F.lit("")).alias(k) for k, level in zip(keys, levels)]
+    placed = docs.select(*inner, size.alias("_n"), F.xxhash64("doc_id", content).alias("_row"), *leaf)
+    copies = placed.withColumn("_epoch", F.explode(F.array(*map(F.lit, range(epochs)))) if epochs > 1 else F.lit(0))
+    copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_row"))
+    copies = copies.withColumn("_bin", F.shiftrightunsigned("_order", 48).cast("int"))
 
     sums = materialize(copies.groupBy(*keys, "_epoch", "_bin").agg(F.sum("_n").alias("_sum")), "mix-ranges")
+    sums = sums.withColumn("_coarse", (F.col("_bin") / (BINS // COARSE)).cast("int"))
     supply = {tuple(r[k] for k in keys): r["s"] for r in sums.groupBy(*keys).agg(F.sum("_sum").alias("s")).collect()}
     budgets = propagate(tree(list(supply.items()), weights), int(fraction * sum(n // epochs for n in supply.values())))
     schema = ", ".join(f"{k} string" for k in keys)
-    wanted = spark.createDataFrame([(*path, budgets[path]) for path in supply], f"{schema}, _budget long")
-    before = Window.partitionBy(*keys).orderBy("_epoch", "_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_from", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(wanted, keys)
-    ends = starts.where("_from < _budget AND _from + _sum > _budget").collect()  # one range of a leaf at most
-    edge = {tuple(r[k] for k in keys): (r["_epoch"], r["_bin"], r["_from"]) for r in ends}
-    exact = starts.where("_from + _sum <= _budget AND _budget > 0").groupBy(*keys).agg(F.max(F.struct("_epoch", "_bin")).alias("_last")).collect()
-    last = {tuple(r[k] for k in keys): tuple(r["_last"]) for r in exact}
-    plan = [(*path, budgets[path], *last.get(path, (-1, -1)), *edge.get(path, (-1, -1, 0))) for path in supply]
-    where = spark.createDataFrame(plan, f"{schema}, _budget long, _last_epoch int, _last_bin int, _end_epoch int, _end_bin int, _from long")
-    placed = copies.join(F.broadcast(where) if len(plan) <= FEW_LEAVES else where, keys)  # a checked size, else both are shuffled
-    whole = placed.where("_epoch < _last_epoch OR (_epoch = _last_epoch AND _bin <= _last_bin)")
-    part = placed.where("_epoch = _end_epoch AND _bin = _end_bin")
-    run = Window.partitionBy(*keys).orderBy("_order", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("_start", F.col("_from") + F.coalesce(F.sum("_n").over(run), F.lit(0))).where("_start < _budget")
-    out = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_epoch").alias("mix_epoch"), F.col("_n").alias("mix_tokens")]
+    last, edge = {}, {}
+    ranges, at = sums.groupBy(*keys, "_epoch", "_coarse").agg(F.sum("_sum").alias("_sum")), [(*path, budgets[path], 0) for path in supply]
+    for place in ("_coarse", "_bin"):  # first the coarse range where each budget ends, then the fine one in it
+        wanted = local_table(spark, at, f"{schema}, _budget long, _base long" + (", _epoch int, _coarse int" if place == "_bin" else ""))
+        found = ranges.join(F.broadcast(wanted) if len(at) <= FEW_LEAVES else wanted, keys + ["_epoch", "_coarse"] * (place == "_bin"))
+        before = Window.partitionBy(*keys).orderBy("_epoch", place).rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("_from", F.col("_base") + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        ends = found.where("_from < _budget AND _from + _sum > _budget").collect()  # one range of a leaf at most
+        whole = found.where("_from + _sum <= _budget AND _budget > 0").groupBy(*keys).agg(F.max(F.struct("_epoch", place)).alias("_last")).collect()
+        for r in whole:
+            last[tuple(r[k] for k in keys)] = (r["_last"]["_epoch"], (r["_last"][place] + 1) * (BINS // COARSE) - 1 if place == "_coarse" else r["_last"][place])
+        edge = {tuple(r[k] for k in keys): r for r in ends}
+        ranges, at = sums, [(*path, budgets[path], r["_from"], r["_epoch"], r["_coarse"]) for path, r in edge.items()]
+        if not at:
+            break
+    plan = [(*path, budgets[path], *last.get(path, (-1, -1)), *((edge[path]["_epoch"], edge[path]["_bin"], edge[path]["_from"]) if path in edge else (-1, -1, 0))) for path in supply]
+    where = local_table(spark, plan, f"{schema}, _budget long, _last_epoch int, _last_bin int, _end_epoch int, _end_bin int, _from long")
+    chosen = copies.drop("_n").join(F.broadcast(where) if len(plan) <= FEW_LEAVES else where, keys)  # a checked size, else both are shuffled
+    whole = chosen.where("_epoch < _last_epoch OR (_epoch = _last_epoch AND _bin <= _last_bin)")
+    part = chosen.where("_epoch = _end_epoch AND _bin = _end_bin")
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    p = "mix_"  # so that no name clashes where the own columns are back
+    while any(c.startswith(p) for c in columns):
+        p += "_"
+    run = Window.partitionBy(*[p + k for k in keys]).orderBy(p + "_order", p + "_row").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*named, *[F.col(c).alias(p + c) for c in ("_epoch", *keys, "_order", "_row", "_from", "_budget")]).withColumn(p + "_n", size)
+    part = part.withColumn(p + "_start", F.col(p + "_from") + F.coalesce(F.sum(p + "_n").over(run), F.lit(0))).where(F.col(p + "_start") < F.col(p + "_budget"))
+    whole = whole.select(*named, F.col("_epoch").alias(p + "_epoch")).withColumn(p + "_n", size)
+    out = [*columns, F.col(p + "_epoch").alias("mix_epoch"), F.col(p + "_n").alias("mix_tokens")]
     return whole.select(*out).unionByName(part.select(*out))
 
 
@@ -150,6 +171,9 @@ WEIGHTS = {("srceven",): 3.0, ("srcodd",): 2.0, **{(d, "en"): 2.0 for d in ("src
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The production mix: half of all tokens, by WEIGHTS, in two epochs at most."""
-    out = mix(docs, WEIGHTS, fraction=0.5, epochs=2)
-    return out.select("doc_id", domain().alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+    """The production mix: half of all tokens, by WEIGHTS, in two epochs at most. Texts are counted once, into a
+    table of the other columns. Tokens are words here, and a source's domain a stand-in (see ``domain``).
+    """
+    rows = materialize(docs.select("doc_id", domain().alias("domain"), "lang", "source", tokens().alias("n_tokens"), F.xxhash64("text").alias("content")), "mix-rows")
+    out = mix(rows, WEIGHTS, fraction=0.5, epochs=2, size=F.col("n_tokens"), content=F.col("content"))
+    return out.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"), "n_tokens")

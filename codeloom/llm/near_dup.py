@@ -120,24 +120,29 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, share: int = 128) -> DataFrame:
     """Pairs of different components that can reach the similarity, by their rarest shingles.
 
     With all sets in one order, two sets of the similarity share an item among the first
     ``n - ceil(n * percent / 100) + 1`` of each. Rare items come first, so what most sets hold is in
     few prefixes. The first item that two sets share also tells how many more they can share at most:
     what comes after it in either. That ends most pairs of near copies that are too far apart.
+
+    An item that many sets hold is dealt to one task for each ``share`` of them: a set goes to one of those as
+    the one end of its pairs, and to all as the other.
     """
     held = rest.join(sets, ["id", "fp"]).select("id", "fp", "n", "component", F.explode("items").alias("item"))
     often = held.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("id", "fp").orderBy("often", "item"))
     prefix = held.join(often, "item").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = materialize(prefix.where("often > 1").select("item", "id", "fp", "n", "component", "place"), "prefix")
-    mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("item")
-    met = prefix.join(mixed, "item")
-    x, y = met.alias("x"), met.alias("y")
+    mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
+    met = materialize(prefix.join(mixed.where("low <> high").select("item", "parts"), "item"), "met")
+    x = met.withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.col("parts")).cast("int")).alias("x")
+    y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.component") < F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
+    same = (F.col("x.item") == F.col("y.item")) & (F.col("x.part") == F.col("y.part"))
+    pairs = x.join(y, same & (F.col("x.component") < F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
     return _likely(pairs.select(F.struct("x.id", "x.fp").alias("a"), F.struct("y.id", "y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")), percent)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, ready
+from .common import local_table, materialize, ranked, ready
 from .shingles import release, slices
 
 END = 2
@@ -360,11 +360,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:
     """
     spark = docs.sparkSession
     ready(spark)
-    cut = materialize(pieces(docs, tokenizer, size), "pieces")
+    same = F.when(F.col("doc_id").isNull(), F.floor(F.rand() * 4096))  # spreads rows without an id
+    cut = materialize(pieces(docs, tokenizer, size).withColumn("_same", same), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     dealt = runs(bin_completion(counts, size)) or [(0, 0, 0, 1, 0, 0)]
-    plan = spark.createDataFrame(dealt, "length long, _first long, _end long, _k long, _sequence long, _offset long")
-    rows = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"])
+    plan = local_table(spark, dealt, "length long, _first long, _end long, _k long, _sequence long, _offset long")
+    rows = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32", "_same"])
     put = rows.join(F.broadcast(plan), (rows["length"] == plan["length"]) & (rows["rank"] >= plan["_first"]) & (rows["rank"] < plan["_end"]))
     nth = F.col("rank") - F.col("_first")
     return put.select(

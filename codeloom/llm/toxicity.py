@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready
@@ -58,12 +58,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 20_000, steps: int = 250, decay: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, budget: int = 32 << 20, steps: int = 250, decay: float = 1e-3) -> Model:
     """Learn from at most ``sample`` labelled documents of each label, in the order of a hash.
 
-    Only documents of at most ``longest`` bytes and outside the held-out fold serve as examples, so
-    the driver gets at most ``2 * sample * longest / 2`` words. The labels' true shares weigh the
-    examples. The likelihood of the document labels under the noisy-or of their sentences is climbed
+    Only documents outside the held-out fold serve as examples, whole and whatever their length, of each
+    label as many as begin within ``budget`` bytes of text in that order. So the driver gets at most the
+    words of ``2 * budget`` bytes and of two documents more. The labels' true shares weigh the examples. The likelihood of the document labels under the noisy-or of their sentences is climbed
     by full gradient steps. Words are left out that fewer than three examples hold, or whose share of
     toxic examples is within four standard errors of the mean. Without labels of both kinds, no text
     is toxic.
@@ -73,10 +73,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 2
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(shares) < 2:
         return Model(np.zeros(1 << BITS), -50.0)
-    short = docs.where(F.octet_length("text") <= longest).select("doc_id", "text")
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # at most 2 * sample rows
-    texts = short.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    order = F.xxhash64("doc_id")
+    sizes = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    within = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget).select("doc_id", "toxic")
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(within), "doc_id").select("toxic", "text")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -150,7 +153,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The offending sentences: ``doc_id, start, end, score, sentence``; code points, end exclusive."""
+    """The offending sentences: ``doc_id, start, end, score, sentence``; code points, end exclusive.
+
+    Null, empty and wordless texts have none; repeated rows are told each by itself.
+    """
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
