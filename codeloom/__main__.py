@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from .plans.index import scan
 from .plans.store import Store
 from .plans.tools import Engine
-from .plans.upkeep import freshness_target, notify, refresh, remember_head
+from .plans.upkeep import notify, remember_head
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -40,10 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "notify":
         notify(store, args.root, args.agent, sys.stdin.read(), now)
         return 0
-    params = json.loads(args.params)
-    if (target := freshness_target(args.method, params)) is not None:
-        refresh(store, args.root, [target], now)
-    print(json.dumps(Engine.of(store, args.root, now).call(args.method, params)))
+    print(json.dumps(Engine.of(store, args.root, now).call(args.method, json.loads(args.params))))
     return 0
 
 

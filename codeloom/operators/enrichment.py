@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -108,6 +108,31 @@ def merge(live: DataFrame, incoming: DataFrame, preserve_siblings: bool = False)
     return live.join(gone, RELATION_KEY, "left_anti").select(*live.columns).unionByName(new.select(*live.columns))
 
 
+_RANGE = "struct<start:struct<line:int,character:int>>"
+_REPLY = f"array<struct<uri:string,range:{_RANGE},targetUri:string,targetSelectionRange:{_RANGE}>>"
+
+
+def uri_path(uri: Column, root: str) -> Column:
+    """The path below ``root`` that a ``file://`` address names; null for others and for what lies outside."""
+    base = root.rstrip("/") + "/"
+    path = F.when(F.startswith(uri, F.lit("file://")), F.try_url_decode(F.replace(F.substring(uri, 8, 1 << 20), F.lit("+"), F.lit("%2B"))))
+    inside = F.startswith(path, F.lit(base)) & ~path.rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(inside, F.substring(path, len(base) + 1, 1 << 20))
+
+
+def parsed_replies(replies: DataFrame, root: str) -> DataFrame:
+    """The table that ``from_locations`` takes, from a provider's JSON answers: a column ``reply`` beside the site.
+
+    An answer is one location, a list of them, or null; a location has ``uri`` and ``range``, or as a link
+    ``targetUri`` and ``targetSelectionRange``. Broken answers and null tell nothing.
+    """
+    one = F.startswith(F.ltrim("reply"), F.lit("{"))
+    found = F.from_json(F.when(one, F.concat(F.lit("["), "reply", F.lit("]"))).otherwise(F.col("reply")), _REPLY)
+    each = replies.select(*SITE, "predicate", F.explode(found).alias("at"))
+    start = F.coalesce("at.range.start", "at.targetSelectionRange.start")
+    return each.select(*SITE, "predicate", uri_path(F.coalesce("at.uri", "at.targetUri"), root).alias("uri_path"), start["line"].alias("line"), start["character"].alias("character"))
+
+
 def from_locations(locations: DataFrame, symbols: DataFrame, provider: str, version: str, observed_at: str) -> DataFrame:
     """Relations from answers of a definition provider: a site and ``uri_path, line, character`` (from 0).
 

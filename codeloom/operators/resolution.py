@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import RELATIONS, names
 from .architecture import dotted_index
+from .tables import written
 
 SITE = ["source", "site_file", "site_line", "site_col"]
 ITEM = ["deferred_kind", *SITE, "module_path", "name", "attribute", "base_name", "method_name", "enclosing_class"]
@@ -56,6 +57,6 @@ def resolve(deferred: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] | No
 def unresolved(deferred: DataFrame, symbols: DataFrame) -> DataFrame:
     """Deferred calls, attribute calls, inheritances and self-calls without any candidate."""
     asked = deferred.where("deferred_kind <> 'override'")
-    item = F.struct(*ITEM)  # structs compare null fields as equal
-    found = candidates(asked, symbols).select(item.alias("_item")).distinct()
-    return asked.withColumn("_item", item).join(found, "_item", "left_anti").select(*deferred.columns)
+    known = written(asked.withColumn("_row", F.monotonically_increasing_id()))  # so a row is told by one number
+    met = candidates(known, symbols).select("_row").distinct()
+    return known.join(met, "_row", "left_anti").select(*deferred.columns)

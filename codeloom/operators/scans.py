@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..model import CONFIDENCES, SEARCHABLE_KINDS, InvalidArgument
 
-
+BIN, LEVELS = 32, 10  # lines of the smallest bins; 32 * 8 ** 9 lines are more than an int counts
 
 def at_least(df: DataFrame, min_confidence: str | None) -> DataFrame:
     """Rows whose confidence is as good as ``min_confidence`` or better."""
@@ -55,14 +55,21 @@ def symbols_at_start(symbols: DataFrame, points: DataFrame) -> DataFrame:
 def symbols_at_position(symbols: DataFrame, points: DataFrame) -> DataFrame:
     """The symbol with the smallest span around each point (path, line, col); ties by id.
 
-    An equi-join on the path with a range condition; the best is a partial minimum, so a file with
-    many points or symbols is no group to be gathered.
+    Spans are put into bins of lines, of a size of BIN * 8 ** level that is at least their length, so each is in
+    two bins at most; a point looks into its bin of every level that occurs. So a point meets the
+    spans near it and not all of its file. The best is a partial minimum.
     """
-    at = F.struct(points["line"], points["col"])
-    inside = (F.struct(symbols["start_line"], symbols["start_col"]) <= at) & (at <= F.struct(symbols["end_line"], symbols["end_col"]))
-    hit = points.join(symbols, (points["path"] == symbols["path"]) & inside)
+    lines = F.col("end_line") - F.col("start_line") + 1
+    spans = symbols.select("path", "id", "start_line", "start_col", "end_line", "end_col", F.greatest(F.lit(0), F.ceil(F.log(lines / BIN) / F.log(F.lit(8.0)) - 1e-9)).cast("int").alias("_level"))
+    size = F.lit(BIN).cast("long") * F.pow(F.lit(8.0), F.col("_level")).cast("long")
+    of = lambda c: F.floor(F.col(c) / size)
+    binned = spans.withColumn("_bin", F.explode(F.sequence(of("start_line"), of("end_line"))))
+    asked = points.select("path", "line", "col", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")).withColumn("_bin", of("line"))
+    at = F.struct("line", "col")
+    inside = (F.struct(F.col("start_line").alias("line"), F.col("start_col").alias("col")) <= at) & (at <= F.struct(F.col("end_line").alias("line"), F.col("end_col").alias("col")))
+    hit = asked.join(binned, ["path", "_level", "_bin"]).where(inside)
     span = F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), (F.col("end_col") - F.col("start_col")).alias("cols"), F.col("id"))
-    return hit.groupBy(points["path"], points["line"], points["col"]).agg(F.min(span).alias("best")).select("path", "line", "col", F.col("best.id").alias("id"))
+    return hit.groupBy("path", "line", "col").agg(F.min(span).alias("best")).select("path", "line", "col", F.col("best.id").alias("id"))
 
 
 def _of(predicates: Iterable[str] | None) -> Column:

@@ -33,8 +33,8 @@ def check_bounds(node_cap: int, depth_clamp: int) -> None:
             raise InvalidArgument(f"{name} must be positive")
 
 
-def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bool, node_cap: int = DEFAULT_NODE_CAP, depth_clamp: int = DEFAULT_DEPTH, any_edge_truncates: bool = False) -> Reach:
-    """Nodes reached from ``root`` within ``depth_clamp`` levels, ``node_cap`` at most, root included.
+def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bool, node_cap: int | None = DEFAULT_NODE_CAP, depth_clamp: int = DEFAULT_DEPTH, any_edge_truncates: bool = False) -> Reach:
+    """Nodes reached from ``root`` within ``depth_clamp`` levels, ``node_cap`` at most (None: all), root included.
 
     A level is one join of the frontier with the edges and one partial minimum for each neighbour (the
     first edge that meets it: by current node, then EDGE_ORDER), so a node of many edges is no
@@ -42,12 +42,12 @@ def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bo
     of dropped nodes, or of a frontier at the depth clamp that leads on: to any edge at all with
     ``any_edge_truncates``, else to an unknown node.
     """
-    check_bounds(node_cap, depth_clamp)
+    check_bounds(1 if node_cap is None else node_cap, depth_clamp)
     spark = relations.sparkSession
 
     def settled(df: DataFrame) -> tuple[DataFrame, int]:
         """A level and its size: rows of the driver under a small cap, else a written table."""
-        if node_cap > FEW:
+        if node_cap is None or node_cap > FEW:
             table = written(df)
             return table, table.count()
         rows = df.collect()
@@ -63,8 +63,8 @@ def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bo
         first = met.groupBy("neighbor").agg(F.min(via).alias("via_order"), F.min_by("confidence", via).alias("discovery_confidence"))
         new = first.join(visited.select(F.col("id").alias("neighbor")), "neighbor", "left_anti")
         new = new.select(F.col("neighbor").alias("id"), F.lit(level + 1).alias("level"), "via_order", F.col("via_order.predicate").alias("discovery_predicate"), "discovery_confidence")
-        best, n = settled(new.orderBy("via_order").limit(node_cap - size + 1))
-        if n > node_cap - size:
+        best, n = settled(new if node_cap is None else new.orderBy("via_order").limit(node_cap - size + 1))
+        if node_cap is not None and n > node_cap - size:
             truncated = True
             best, n = settled(best.orderBy("via_order").limit(node_cap - size))
         level += 1
@@ -84,7 +84,7 @@ def bfs(relations: DataFrame, root: str, predicates: Iterable[str], upstream: bo
     return Reach(visited, kept, truncated)
 
 
-def graph(relations: DataFrame, root: str, graph_type: str, direction: str, node_cap: int = DEFAULT_NODE_CAP, depth_clamp: int = DEFAULT_DEPTH) -> Reach:
+def graph(relations: DataFrame, root: str, graph_type: str, direction: str, node_cap: int | None = DEFAULT_NODE_CAP, depth_clamp: int = DEFAULT_DEPTH) -> Reach:
     if graph_type not in GRAPHS:
         raise InvalidArgument(f"graph_type must be one of {', '.join(GRAPHS)}")
     if direction not in ("upstream", "downstream"):

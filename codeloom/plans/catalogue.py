@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..model import DEFERRED, RELATION_KEY, names
+from ..model import DEFAULT_DEPTH, DEFERRED, RELATION_KEY, names
 from ..operators import architecture as arch
 from ..operators import enrichment, reconcile, resolution, scans, traverse
 from ..operators.cycles import cycles
 from ..operators.history import changes, explain
-from ..operators.pages import IMPORT_ORDER, REFERENCE_ORDER, page_df
+from ..operators.pages import page_df
 from ..operators.tables import written
 from ..sources.hooks import touched
 from ..streaming import watch
@@ -24,7 +24,7 @@ from .projection import Projection, ctes
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-BIG, DEPTH = 1_000_000, 2
+DEPTH = DEFAULT_DEPTH
 LAYERS = arch.Layers({"core": ["src/r[0-1]/*"], "rest": ["src/*"], "apps": ["app/*"], "tests": ["tests/*", "app/n1?_svc.py"]}, {"apps": ["core"], "rest": ["core"]})
 
 
@@ -130,7 +130,7 @@ K = ", ".join(RELATION_KEY)
 @query("find_references", "relations", f"SELECT {K}, confidence FROM relations WHERE predicate <> 'imports' AND target IN (SELECT id FROM symbols WHERE qualname IN ('S1', 'S1.m1', 'S2.m0'))")
 def _(p):
     ids = p.symbols.where(F.col("qualname").isin("S1", "S1.m1", "S2.m0")).select("id")
-    return page_df(scans.references(p.relations, ids), REFERENCE_ORDER, BIG).select(*RELATION_KEY, "confidence")
+    return scans.references(p.relations, ids).select(*RELATION_KEY, "confidence")
 
 
 @query("find_references_min_confidence", "relations", f"SELECT {K} FROM relations WHERE predicate <> 'imports' AND confidence = 'EXTRACTED' AND target IN (SELECT id FROM symbols WHERE kind = 'class')")
@@ -140,7 +140,7 @@ def _(p):
 
 @query("list_imports", "relations", "SELECT target, site_line, site_col FROM relations WHERE site_file = 'tests/test_n2.py' AND predicate = 'imports'")
 def _(p):
-    return page_df(scans.relations_in_file(p.relations, "tests/test_n2.py", ["imports"]), IMPORT_ORDER, BIG).select("target", "site_line", "site_col")
+    return scans.relations_in_file(p.relations, "tests/test_n2.py", ["imports"]).select("target", "site_line", "site_col")
 
 
 @query("out_edges", "relations", f"SELECT {K} FROM relations WHERE predicate IN ('calls', 'overrides') AND source IN (SELECT id FROM symbols WHERE kind = 'method' AND is_stub)")
@@ -148,16 +148,6 @@ def _(p):
     return scans.out_edges(p.relations, p.symbols.where("kind = 'method' AND is_stub"), ["calls", "overrides"]).select(*RELATION_KEY)
 
 
-@query("in_edges_of_no_predicate", "relations", f"SELECT {K} FROM relations WHERE false")
-def _(p):
-    return scans.in_edges(p.relations, p.symbols, []).select(*RELATION_KEY)
-
-
-@query("relations_at_site", "relations", f"SELECT {K} FROM relations WHERE site_file = 'tests/test_n2.py' AND site_line = 3 AND site_col = 0")
-def _(p):
-    return scans.relations_at_site(p.relations, "tests/test_n2.py", 3, 0).select(*RELATION_KEY)
-
-
 # traversal
 
 ROOT = "root AS (SELECT id FROM methods WHERE pk = 0)"
@@ -178,7 +168,7 @@ def _levels(predicates: str, here: str, there: str, depth: int, cap: int | None
     return ",\n".join(out)
 
 
-def _bfs(p: Projection, predicates, upstream: bool, cap: int = BIG) -> traverse.Reach:
+def _bfs(p: Projection, predicates, upstream: bool, cap: int | None = None) -> traverse.Reach:
     return traverse.bfs(p.relations, p.method_id(), predicates, upstream, cap, DEPTH)
 
 
@@ -190,22 +180,22 @@ SELECT id, min(level)::INT AS level FROM walk GROUP BY id"""
 
 @query("graph_call_down_nodes", "relations", _walk("source", "target"), True)
 def _(p):
-    return traverse.graph(p.relations, p.method_id(), "call", "downstream", BIG, DEPTH).nodes.select("id", "level")
+    return traverse.graph(p.relations, p.method_id(), "call", "downstream", None, DEPTH).nodes.select("id", "level")
 
 
 @query("graph_call_up_nodes", "relations", _walk("target", "source"), True)
 def _(p):
-    return traverse.graph(p.relations, p.method_id(), "call", "upstream", BIG, DEPTH).nodes.select("id", "level")
+    return traverse.graph(p.relations, p.method_id(), "call", "upstream", None, DEPTH).nodes.select("id", "level")
 
 
 @query("graph_call_down_edges", "relations", _levels("'calls'", "source", "target", DEPTH) + f"\nSELECT {K}, level::INT AS level FROM e JOIN reached ON cur = id WHERE level < {DEPTH} AND nxt IN (SELECT id FROM reached)")
 def _(p):
-    return traverse.graph(p.relations, p.method_id(), "call", "downstream", BIG, DEPTH).edges.select(*RELATION_KEY, F.col("current_level").alias("level"))
+    return traverse.graph(p.relations, p.method_id(), "call", "downstream", None, DEPTH).edges.select(*RELATION_KEY, F.col("current_level").alias("level"))
 
 
 @query("graph_dependency", "relations", _walk("source", "target", "root AS (SELECT path || ':#module' AS id FROM modules WHERE path = 'tests/test_n2.py')", "imports"), True)
 def _(p):
-    return traverse.graph(p.relations, "tests/test_n2.py:#module", "dependency", "downstream", BIG, DEPTH).nodes.select("id", "level")
+    return traverse.graph(p.relations, "tests/test_n2.py:#module", "dependency", "downstream", None, DEPTH).nodes.select("id", "level")
 
 
 @query("graph_capped", "relations", _levels("'calls'", "source", "target", DEPTH, 60) + "\nSELECT id, level::INT AS level FROM reached")
@@ -215,7 +205,7 @@ def _(p):
 
 @query("graph_resolved_nodes", "relations", _levels("'imports'", "source", "target", 1).replace(ROOT, "root AS (SELECT 'tests/test_n2.py:#module' AS id)") + "\nSELECT r.id, s.kind, s.id IS NOT NULL AS resolved FROM reached r LEFT JOIN symbols s ON s.id = r.id")
 def _(p):
-    got = traverse.bfs(p.relations, "tests/test_n2.py:#module", ["imports"], False, BIG, 1)
+    got = traverse.bfs(p.relations, "tests/test_n2.py:#module", ["imports"], False, None, 1)
     return traverse.resolved(got.nodes, p.symbols).select("id", "kind", "resolved")
 
 
@@ -648,16 +638,6 @@ def _(p):
     return watch.decide(now, state)
 
 
-@query("changed_paths", None, "SELECT DISTINCT 'f' || user_id || '.py' AS path FROM events WHERE event_type IN ('click', 'view') OR event_id % 97 = 0")
-def _(p):
-    e = p.table("events").withColumn("path", F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".py")))
-    parts = [e.where("event_type = 'click'"), e.where("event_type = 'view'"), e.where("event_id % 97 = 0")]
-    out = parts[0].select("path")
-    for x in parts[1:]:
-        out = out.unionByName(x.select("path"))
-    return out.distinct()
-
-
 @query("hook_paths", None, "SELECT DISTINCT 'src/u' || user_id || '.py' AS path FROM events WHERE event_type IN ('click', 'view')")
 def _(p):
     path = F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".py"))
@@ -687,9 +667,3 @@ def _(p):
 def _(p):
     f = p._sql("functions", False).select(X.symbol_id("path", "name", F.lit("function"), (F.col("ck") % 4).cast("int")).alias("id"))
     return f.select("id", X.parse_symbol_id("id").alias("s")).select("id", "s.path", "s.qualname", "s.kind", "s.ordinal")
-
-
-@query("render_relations", "relations", "SELECT source, target, struct_pack(provider := provenance_provider, version := provenance_version, observed_at := observed_at)::VARCHAR <> '' AS has_provenance, confidence FROM relations WHERE predicate = 'inherits'")
-def _(p):
-    r = p.relations.where("predicate = 'inherits'")
-    return r.select("source", "target", F.struct("provenance_provider", "provenance_version", "observed_at").isNotNull().alias("has_provenance"), "confidence")

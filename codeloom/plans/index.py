@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from dataclasses import asdict, dataclass
 
@@ -29,13 +30,19 @@ class ScanResult:
         return asdict(self)
 
 
-def index_files(store: Store, files: DataFrame, observed_at: str, prune_inferred: bool = True, whole: bool = False) -> dict:
+def now() -> str:
+    return dt.datetime.now(dt.timezone.utc).isoformat()
+
+
+def index_files(store: Store, files: DataFrame, observed_at: str | None = None, prune_inferred: bool = True, whole: bool = False) -> dict:
     """(Re)index ``files`` (path, source; a null source is a deleted file) in one batch and commit it.
 
     Files of a batch see each other's symbols. A file with a syntax error keeps what the index has of
     it. Only the batch's own outgoing edges are resolved; removed symbols lose their inbound edges from
-    everywhere. ``whole``: what the store has of other files goes (a full scan).
+    everywhere. ``whole``: what the store has of other files goes (a full scan). ``observed_at``: by default
+    the present time. The result counts what was found, and what got a tombstone.
     """
+    observed_at = observed_at or now()
     store.create()
     facts = written(extract(files.where("source IS NOT NULL"), observed_at))
     bad = broken(facts).select("path")
@@ -49,20 +56,24 @@ def index_files(store: Store, files: DataFrame, observed_at: str, prune_inferred
     resolved = relations_of(facts).unionByName(resolution.resolve(deferred_of(facts), known)).dropDuplicates(RELATION_KEY)
     sym, rel = reconcile.index_batch(live, edges, new, written(resolved), paths, observed_at, prune_inferred)
     start = store.meta()["history_id"]
-    told = written(reconcile.numbered(written(sym.appended), start, ["id"]).select(*names(SYMBOLS_HISTORY)))
-    n = told.count()
-    told_edges = reconcile.numbered(written(rel.appended), start + n, RELATION_KEY).select(*names(RELATIONS_HISTORY))
+    sym_told, rel_told = written(sym.appended), written(rel.appended)
+    told = reconcile.numbered(sym_told, start, ["id"]).select(*names(SYMBOLS_HISTORY))
+    told_edges = reconcile.numbered(rel_told, start + sym_told.count(), RELATION_KEY).select(*names(RELATIONS_HISTORY))
     state = store.read("file_state").join(paths, "path", "left_anti")
     if "mtime_ns" in files.columns:
         seen = with_hash(files.where("source IS NOT NULL")).join(paths, "path", "left_semi").select("path", "mtime_ns", "content_hash")
         state = state.unionByName(seen)
     meta = store.commit({"symbols": sym.live, "relations": rel.live, "file_state": state}, {"symbols_history": told, "relations_history": told_edges})
-    return {"generation": meta["generation"], "failed": bad.count(), "indexed": files.where("source IS NOT NULL").count() - bad.count(), "symbols": new.count(), "relations": resolved.count()}
+    failed, gone = bad.count(), [df.where("tombstone").count() for df in (sym_told, rel_told)]
+    return {
+        "generation": meta["generation"], "failed": failed, "indexed": files.where("source IS NOT NULL").count() - failed,
+        "symbols": new.count(), "relations": resolved.count(), "symbols_tombstoned": gone[0], "relations_tombstoned": gone[1],
+    }
 
 
-def scan(store: Store, root: str, observed_at: str) -> ScanResult:
+def scan(store: Store, root: str, observed_at: str | None = None) -> ScanResult:
     """A full scan of a repository, with the enrichment that needs no other tool."""
-    began = time.monotonic()
+    began, observed_at = time.monotonic(), observed_at or now()
     files = written(read_repo(store.spark, root))
     got = index_files(store, files, observed_at, whole=True)
     enrich(store, files, observed_at)
@@ -70,11 +81,12 @@ def scan(store: Store, root: str, observed_at: str) -> ScanResult:
     return ScanResult(got["indexed"], got["failed"], got["symbols"], got["relations"], meta["generation"], round(time.monotonic() - began, 3))
 
 
-def enrich(store: Store, files: DataFrame, observed_at: str, locations: DataFrame | None = None, provider: tuple[str, str] = ("lsp", "0")) -> None:
+def enrich(store: Store, files: DataFrame, observed_at: str | None, locations: DataFrame | None = None, provider: tuple[str, str] = ("lsp", "0")) -> None:
     """Stub calls, mixin calls, and answers of a definition provider if given, merged into the live edges.
 
     The generation stays, so cursors survive, as do rows that outrank what a pass finds.
     """
+    observed_at = observed_at or now()
     symbols, live = store.read("symbols"), store.read("relations")
     facts = written(extract(files.where("source IS NOT NULL"), observed_at))
     stubs = enrichment.stub_calls(symbols, live, observed_at)

@@ -18,6 +18,7 @@ from ..operators import architecture as arch
 from ..operators import scans, traverse
 from ..operators.cycles import cycles
 from ..operators.history import explain
+from ..operators.tables import written
 from ..operators.pages import IMPORT_ORDER, MATCH_ORDER, REFERENCE_ORDER, SYMBOL_ORDER, page
 from ..sources.layers import load_layers
 from ..sources.repo import read_repo, to_repo_relative
@@ -58,11 +59,26 @@ class Engine:
         self.symbols, self.relations, self.generation = symbols, relations, generation
         self.symbols_history, self.relations_history = symbols_history, relations_history
         self.root, self.observed_at = root, observed_at
-        self.spark = symbols.sparkSession
+        self.spark, self.store = symbols.sparkSession, None
 
     @classmethod
     def of(cls, store, root: str | None = None, observed_at: str = "") -> Engine:
-        return cls(store.read("symbols"), store.read("relations"), store.meta()["generation"], store.read("symbols_history"), store.read("relations_history"), root, observed_at)
+        """The engine of a store's newest snapshot. With ``root`` and ``observed_at``, a query that names a file
+        first brings that file up to date."""
+        out = cls(store.read("symbols"), store.read("relations"), store.meta()["generation"], store.read("symbols_history"), store.read("relations_history"), root, observed_at)
+        out.store = store
+        return out
+
+    def _freshen(self, method: str, params: dict) -> None:
+        from .upkeep import freshness_target, refresh
+
+        if self.store is None or not self.root or not self.observed_at:
+            return
+        target = freshness_target(method, params)
+        inner = to_repo_relative(self.root, target) if target else None
+        if inner and refresh(self.store, self.root, [inner], self.observed_at):
+            new = Engine.of(self.store, self.root, self.observed_at)
+            self.symbols, self.relations, self.generation, self.symbols_history, self.relations_history = new.symbols, new.relations, new.generation, new.symbols_history, new.relations_history
 
     def call(self, method: str, params: Any) -> dict:
         """The response to a request: ``{"ok": true, "result"}`` or ``{"ok": false, "error"}``."""
@@ -76,6 +92,7 @@ class Engine:
                 inspect.signature(tool).bind(**params)
             except TypeError as e:
                 raise InvalidArgument(str(e)) from e
+            self._freshen(method, params)
             return {"ok": True, "result": tool(**params)}
         except ToolError as e:
             return {"ok": False, "error": {"code": e.code, "message": str(e), "index_generation": self.generation}}
@@ -184,8 +201,8 @@ class Engine:
         layers = load_layers(self.root) if self.root else None
         modules = self.symbols.where("kind = 'module'")
         imports = self.relations.where("predicate = 'imports'")
-        found = arch.resolve_imports(imports.where(X.in_scope("site_file", root)), modules).cache()
-        edges = arch.file_edges(found, root).cache()
+        found = written(arch.resolve_imports(imports.where(X.in_scope("site_file", root)), modules))
+        edges = written(arch.file_edges(found, root))
         counts = arch.external_counts(found, modules, root)
         inside = modules.where(X.in_scope("path", root))
         if granularity == "file":

@@ -26,7 +26,7 @@ def freshness_target(method: str, params: dict) -> str | None:
     return found if isinstance(found, str) else None
 
 
-def refresh(store: Store, root: str, paths: list[str], observed_at: str, prune_inferred: bool = False) -> int:
+def refresh(store: Store, root: str, paths: list[str], observed_at: str | None, prune_inferred: bool = False) -> int:
     """Bring the given files up to date; the number of files that were indexed again.
 
     Files whose time or digest is as recorded cost nothing more; missing ones lose their symbols.
@@ -67,7 +67,9 @@ def seed_worktree(primary: Store, primary_root: str, target: str, root: str, obs
 
 
 def remember_head(store: Store, root: str) -> None:
-    store.commit({}, {}, bump=False, head_sha=git.head_sha(root))
+    """Record the repository's commit; where version control tells none, the recorded one stays."""
+    if (found := git.head_sha(root)) is not None:
+        store.commit({}, {}, bump=False, head_sha=found)
 
 
 def catch_up(store: Store, root: str, observed_at: str) -> bool:
@@ -80,7 +82,7 @@ def catch_up(store: Store, root: str, observed_at: str) -> bool:
     return True
 
 
-def enrich_if_changed(store: Store, root: str, observed_at: str, locations: DataFrame | None = None) -> bool:
+def enrich_if_changed(store: Store, root: str, observed_at: str | None, locations: DataFrame | None = None) -> bool:
     """Enrich if the repository's fingerprint is not that of the last enrichment."""
     mark = git.fingerprint(root)
     if mark is not None and mark == store.meta()["last_enrichment_fingerprint"]:

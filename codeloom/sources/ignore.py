@@ -30,8 +30,10 @@ def _glob(body: str) -> str:
             out.append(".+")
             i += 2
         elif body[i] == "*":
-            out.append("[^/]*")
-            i += 1 + (body[i : i + 2] == "**")
+            stars = 1 + (body[i : i + 2] == "**")
+            alone = (i == 0 or body[i - 1] == "/") and body[i + stars : i + stars + 1] in ("", "/")  # a whole name, which is not empty
+            out.append("[^/]+" if alone else "[^/]*")
+            i += stars
         elif body[i] == "?":
             out.append("[^/]")
             i += 1

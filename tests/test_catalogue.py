@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from codeloom.plans.catalogue import QUERIES, SQL
+from codeloom.plans.scenarios import QUERIES, SQL
 from compare import digest
 
 DATA = "/root/testdata/sf0.001"
