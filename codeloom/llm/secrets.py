@@ -44,6 +44,8 @@ MORE = (
 )
 KINDS = BASE + MORE
 
+_EACH = 2  # trigrams of a mandatory string that the index has: each more costs a look at every text, and narrows little
+_OFTEN = " etaoinshrdlcumwfgypbvkjxqz"  # fixed values: letters by falling frequency
 _MOST = 64  # strings that a part of a pattern may stand for before its trigrams are taken
 
 
@@ -51,10 +53,20 @@ def _both(a: Query, b: Query) -> Query:
     return b if a is True else a if b is True else ("and", (a, b))
 
 
+def _rarest(s: str) -> list[str]:
+    """The _EACH trigrams of a string that texts hold least, by the usual frequency of their letters."""
+    found = dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2))
+    return sorted(found, key=lambda g: (-sum(_OFTEN.find(c) if c in _OFTEN else len(_OFTEN) for c in g), g))[:_EACH]
+
+
 def _literal(strings: set[str]) -> Query:
+    """All strings must be long enough; a text then holds the rarest trigrams of one of them. A string that
+    holds another one of them is told by that.
+    """
     if any(len(s) < 3 for s in strings):
         return True
-    parts = [reduce(_both, dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2))) for s in sorted(strings)]
+    least = [s for s in sorted(strings) if not any(o != s and o in s for o in strings)]
+    parts = [reduce(_both, _rarest(s)) for s in least]
     return parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
@@ -143,10 +155,10 @@ def candidates(docs: DataFrame, kinds: tuple[Kind, ...], block: int = 4096) -> D
     queries = {i: q for i, k in enumerate(kinds) if (q := trigram_query(k.regex)) is not True}
     names = sorted(set().union(*map(trigrams, queries.values())))
     if not names:
-        return docs.select(F.xxhash64("doc_id").alias("_key"), F.lit(0).cast("long").alias("_kinds")).limit(0)
+        return docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.lit(0).cast("long").alias("_kinds")).limit(0)
     blocks = max(1, -(-docs.count() // block))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    found = docs.select(F.xxhash64("doc_id").alias("_key"), low.alias("_low"))
+    found = docs.select(F.xxhash64("doc_id", "text").alias("_key"), low.alias("_low"))
     found = found.select("_key", F.explode(F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in names]))).alias("_gram"))
     lists = found.groupBy(F.pmod(F.xxhash64("_key"), F.lit(blocks)).alias("_block"), "_gram").agg(F.collect_set("_key").alias("_keys"))
     index = lists.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_gram", "_keys"))).alias("_index"))
@@ -188,15 +200,14 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, keep: list[str] | Non
     """``docs`` (the columns in ``keep``, by default ``doc_id``) with ``spans``: an array of structs
     (start, kind, end) by start, then kind as listed.
 
-    Candidates come from the index and meet the texts by a hash of ``doc_id``: broadcast while there are
-    at most ``broadcast_keys`` of them (a checked size of some 16 MB), else both sides are shuffled. Documents that share
-    an id, or have none, share their candidates, which costs time only, as every candidate is
-    verified by its regex. A null text is empty and has no span. Rows are never dropped or merged.
+    Candidates come from the index and meet the texts by a hash of id and text: broadcast while there are
+    at most ``broadcast_keys`` of them (a checked size of some 16 MB), else both sides are shuffled. Equal rows share
+    their candidates, and every candidate is verified by its regex. A null text is empty and has no span. Rows are never dropped or merged.
     """
     docs = docs.select(*dict.fromkeys([*(keep or ["doc_id"]), "doc_id", "text"]))
     found = materialize(candidates(docs, kinds), "secret-candidates")
     few = found.count() <= broadcast_keys
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id")).join(F.broadcast(found) if few else found, "_key", "left")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(F.broadcast(found) if few else found, "_key", "left")
     text, mask = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("_kinds"), F.lit(0))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = [

@@ -72,3 +72,33 @@ def test_near_copies_go_from_four_fifths(spark, docs_of):
     far = " ".join([*w[:84], *(f"y{i}" for i in range(20))])  # shares 80 of 120
     kept = corpus_pipeline.near_duplicates(spark, docs_of([" ".join(w), near, far]), "")
     assert {r["doc_id"] for r in kept.collect()} == {0, 2}
+
+
+def test_odd_rows(spark, folder):
+    """Null and empty texts go with the classifier; of repeated rows one stays; rows without id all stay; clashing names do no harm."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    some, clash = docs.where("doc_id < 60"), ["kept", "_n", "_epoch", "_block", "rank", "spans", "c0", "_key", "mix_epoch", "length", "component"]
+    odd = some.unionByName(some.where("doc_id < 5")).unionByName(some.where("doc_id IN (7, 8)").selectExpr("cast(NULL AS bigint) AS doc_id", "text", "cast(NULL AS string) AS lang", "cast(NULL AS string) AS source", "n_chars"))
+    odd = odd.unionByName(spark.createDataFrame([(900, None, "en", "src0", None), (901, "", None, None, 0)], odd.schema))
+    odd = odd.selectExpr("*", *[f"cast(doc_id AS string) AS {c}" for c in clash])
+    now = odd
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, stage(spark, now, folder).cache()
+        if name != "packing":
+            assert now.columns == odd.columns
+        if name == "quality classifier":
+            assert not {900, 901} & {r["doc_id"] for r in now.collect()}
+            assert now.count() >= odd.count() - 6
+        if name == "near-duplicates":
+            ids = [r["doc_id"] for r in now.collect()]
+            assert ids.count(None) == before.where("doc_id IS NULL").count() and len({i for i in ids if i is not None}) == len([i for i in ids if i is not None])
+        if name == "secrets":
+            assert now.count() == before.count() and now.where("kept IS DISTINCT FROM cast(doc_id AS string)").count() == 0
+    assert now.count() > 10
+
+
+def test_empty_table(spark, folder):
+    now = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        assert now.count() == 0
