@@ -226,3 +226,38 @@ def test_clone(store, spark, tmp_path):
     assert ids(other) == ids(store) and other.meta()["generation"] == 1 and other.needs_resolution()
     put(other, {"m.py": None}, "t2")
     assert ids(store) and not ids(other)
+
+
+def test_a_crash_or_a_second_writer_harms_no_commit(store):
+    from codeloom.plans.store import ConcurrentCommit
+
+    put(store, {"m.py": "def f(): pass\n"}, "t1")
+    before = store.meta()
+    fs = store._fs()
+    fs.create(store._path(".fresh-left.json"), True).close()  # a writer that died before the rename
+    assert store.meta() == before and ids(store) == {"m.py:#module", "m.py:f#function"}
+    store._point({**before, "head_sha": "one"})
+    with pytest.raises(ConcurrentCommit):
+        store._point({**before, "head_sha": "two"})
+    assert store.meta()["head_sha"] == "one"
+
+
+def test_older_folders_and_pointers(store, spark):
+    """Rows without ``is_stub`` and pointers without the later keys are read with the values they had."""
+    put(store, {"m.py": "def f(): pass\n"}, "t1")
+    meta = store.meta()
+    store.read("symbols").drop("is_stub").write.parquet(f"{store.root}/old")
+    keep = {k: v for k, v in meta.items() if k not in ("last_enrichment_fingerprint", "cross_file_pass_version")}
+    store._point({**keep, "folders": {**meta["folders"], "symbols": ["old"]}})
+    assert {r["is_stub"] for r in store.read("symbols").collect()} == {False} and store.needs_resolution()
+
+
+def test_the_engine_reads_changed_files_first(spark, tmp_path):
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.py").write_text("import one\n")
+    s = Store(spark, f"file://{tmp_path}/index")
+    scan(s, str(tmp_path / "repo"))
+    (tmp_path / "repo" / "a.py").write_text("import two\n")
+    got = Engine.of(s, str(tmp_path / "repo"), "t2").call("list_imports", {"file": "a.py"})["result"]
+    assert [r["target"] for r in got["results"]] == ["two"] and got["index_generation"] == 2
+    assert Engine.of(s).call("list_imports", {"file": "a.py"})["result"]["total_count"] == 1

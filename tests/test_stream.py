@@ -105,3 +105,66 @@ def test_changed_files_are_reindexed(spark, tmp_path):
     assert store.meta()["generation"] == generation and store.read("file_state").select(F.max("mtime_ns")).collect()[0][0] == 1
     (root / "m.py").rename(root / "n.py")
     assert send("4", "m.py", "n.py") == {"n.py:#module", "n.py:f#function"}
+
+
+def test_watched_folder(spark, tmp_path):
+    """Creations, changes, a move and a deletion, each poll a numbered step; a restart goes on where it was."""
+    from codeloom.sources.watching import watch_files
+
+    root, state, cp = tmp_path / "repo", tmp_path / "state", tmp_path / "cp"
+    root.mkdir()
+    seen, done = [], set()
+
+    def keep(batch, epoch):
+        seen.extend((r["event"], r["path"]) for r in batch.collect())
+
+    def poll():
+        seen.clear()
+        q = watch_files(spark, str(root), str(state), "w").writeStream.foreachBatch(keep).option("checkpointLocation", str(cp)).trigger(processingTime="200 milliseconds").start()
+        try:
+            for _ in range(40):
+                if seen:
+                    break
+                q.awaitTermination(0.25)
+        finally:
+            q.stop()
+        done.update(seen)
+        return sorted(seen)
+
+    (root / "a.py").write_text("x = 1\n")
+    (root / "sub").mkdir()
+    (root / "sub" / "b.py").write_text("y = 1\n")
+    assert poll() == [("created", "a.py"), ("created", "sub/b.py")]
+    os.utime(root / "a.py", ns=(5, 5))
+    (root / "sub" / "b.py").rename(root / "c.py")
+    assert poll() == [("created", "c.py"), ("deleted", "sub/b.py"), ("modified", "a.py")]
+
+
+def test_trailing_burst_needs_no_later_event(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    drop(src, "1", [(dt.datetime(2024, 1, 1), "w", "modified", p) for p in ("b.py", "a.py", "b.py")])
+    events = spark.readStream.schema(watch.EVENTS).json(str(src))
+    q = watch.burst_stream(events, 300).writeStream.outputMode("append").format("memory").queryName("trailing").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(80):
+            if spark.table("trailing").count():
+                break
+            q.awaitTermination(0.5)
+        assert [(r["worktree_id"], r["paths"], r["n_events"]) for r in spark.table("trailing").collect()] == [("w", ["a.py", "b.py"], 3)]
+    finally:
+        q.stop()
+
+
+def test_worktrees_and_enrichment_of_a_batch(spark, tmp_path):
+    trees = {}
+    for name in ("v", "w"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.py").write_text(f"def {name}(): pass\n")
+        trees[name] = (Store(spark, f"file://{tmp_path}/index-{name}"), str(tmp_path / name))
+        trees[name][0].create()
+    rows = [(dt.datetime(2024, 1, 1), t, "modified", "m.py") for t in ("v", "w", "unknown")]
+    watch.worktree_reindexer(trees, "t")(spark.createDataFrame(rows, watch.EVENTS), 0)
+    assert {r["id"] for s, _ in trees.values() for r in s.read("symbols").where("kind = 'function'").collect()} == {"m.py:v#function", "m.py:w#function"}
+    watch.enricher(trees, "t")(spark.createDataFrame([("w",), ("unknown",)], "key string"), 0)
+    assert trees["w"][0].meta()["generation"] == 1
