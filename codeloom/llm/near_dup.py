@@ -137,7 +137,8 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, share: int = 1
     prefix = held.join(often, "item").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = materialize(prefix.where("often > 1").select("item", "id", "fp", "n", "component", "place"), "prefix")
     mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
-    met = materialize(prefix.join(mixed.where("low <> high").select("item", "parts"), "item"), "met")
+    mixed = materialize(mixed.where("low <> high").select("item", "parts"), "mixed-items")  # so the join shuffles both sides anew and can split a frequent item
+    met = materialize(prefix.join(mixed, "item"), "met")
     x = met.withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.col("parts")).cast("int")).alias("x")
     y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
