@@ -80,8 +80,8 @@ def _remove_written() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended before
-            return
+        except Exception:  # the session may have ended before, or this folder be gone
+            continue
 
 
 def parallelism(spark: SparkSession) -> int:
