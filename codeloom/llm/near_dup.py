@@ -128,22 +128,38 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, share: int = 1
     few prefixes. The first item that two sets share also tells how many more they can share at most:
     what comes after it in either. That ends most pairs of near copies that are too far apart.
 
+    A pair of different components shares no more than the second best component of the item can (``reach``) and
+    is no smaller than the item's least set allows, so a set that falls short of that meets nobody there. Of what
+    is left, no pair lies within the item's largest component: its sets are only the one end of pairs. A
+    cloud of copies that are linked, with others around that are not, so costs those others times the cloud.
+
     An item that many sets hold is dealt to one task for each ``share`` of them: a set goes to one of those as
-    the one end of its pairs, and to all as the other.
+    the one end of its pairs, and, unless of the largest component, to all as the other.
     """
     held = rest.join(sets, ["id", "fp"]).select("id", "fp", "n", "component", F.explode("items").alias("item"))
     often = held.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("id", "fp").orderBy("often", "item"))
     prefix = held.join(often, "item").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = materialize(prefix.where("often > 1").select("item", "id", "fp", "n", "component", "place"), "prefix")
-    mixed = prefix.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
-    mixed = materialize(mixed.where("low <> high").select("item", "parts"), "mixed-items")  # so the join shuffles both sides anew and can split a frequent item
-    met = materialize(prefix.join(mixed, "item"), "met")
+    prefix = materialize(prefix.where("often > 1").select("item", "id", "fp", "n", "component", (1 + F.col("n") - F.col("place")).alias("most")), "prefix")
+    # small tables are written, so a join shuffles both sides anew and can split a frequent item
+    by = materialize(prefix.groupBy("item", "component").agg(F.max("most").alias("most"), F.min("n").alias("n")), "item-components")
+    best = by.groupBy("item").agg(F.max(F.struct("most", "component")).alias("best"), F.min("n").alias("least"), F.count(F.lit(1)).alias("components"))
+    best = materialize(best.where("components > 1").select("item", F.col("best.component").alias("first"), "least"), "mixed-items")
+    others = materialize(by.join(best, "item").where("component <> first").select("item", "most", "least"), "item-others")
+    bounds = materialize(others.groupBy("item").agg(F.max("most").alias("reach"), F.first("least").alias("least")), "item-bounds")
+    shared, partner = F.least("most", "reach"), F.greatest(F.ceil(F.col("n") * percent / 100), "least")
+    near = prefix.join(bounds, "item").where(100 * shared >= percent * (F.col("n") + partner - shared)).drop("reach", "least")
+    near = materialize(near, "near")
+    sizes = near.groupBy("item", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.ceil(F.sum("n") / share).cast("int").alias("parts"), F.count(F.lit(1)).alias("components"))
+    sizes = materialize(sizes.where("components > 1").select("item", "parts", F.col("top.component").alias("largest")), "item-sizes")
+    met = materialize(near.join(sizes, "item"), "met")
     x = met.withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.col("parts")).cast("int")).alias("x")
-    y = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    y = met.where("component <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    most = F.least("x.most", "y.most")
     same = (F.col("x.item") == F.col("y.item")) & (F.col("x.part") == F.col("y.part"))
-    pairs = x.join(y, same & (F.col("x.component") < F.col("y.component")) & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
+    once = (F.col("x.component") == F.col("x.largest")) | (F.col("x.component") < F.col("y.component"))  # y is of another than the largest
+    pairs = x.join(y, same & once & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)))
     return _likely(pairs.select(F.struct("x.id", "x.fp").alias("a"), F.struct("y.id", "y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")), percent)
 
 

@@ -94,3 +94,30 @@ def test_components_of_chain_star_and_cycle(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200, 202: 200}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_pairs_around_a_cloud_of_linked_copies(spark, monkeypatch, seed):
+    """Every pair of different components at the threshold is met, and rows are not copied by the square of the cloud."""
+    rnd, new, made = random.Random(seed), iter(range(10**4, 10**6)), {}
+    write = near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    sets = []
+    for i in range(240):
+        lost = rnd.randrange(1, 4) if i < 200 else rnd.randrange(3, 12)
+        kept = rnd.sample(range(60), 60 - lost)
+        sets.append((i, i * 7, kept + [next(new) for _ in range(lost)], 1 if 5 < i < 200 else i))
+    rest = spark.createDataFrame([(i, f, len(s), c) for i, f, s, c in sets], "id long, fp long, n long, component long")
+    items = spark.createDataFrame([(i, f, s) for i, f, s, _ in sets], "id long, fp long, items array<long>")
+    found = near_dup._prefix_pairs(rest, items, 80, share=8)
+    met = {tuple(sorted((r["a"]["id"], r["b"]["id"]))) for r in found.collect()}
+    want = set()
+    for i, _, s, c in sets:
+        for j, _, t, d in sets[:i]:
+            k = len({*s} & {*t})
+            if c != d and 100 * k >= 80 * (len(s) + len(t) - k):
+                want.add((j, i))
+    assert len(want) > 50 and want <= met
+    rows = made["met"]
+    copies = (rows.where("component <> largest") if "largest" in rows.columns else rows).groupBy().sum("parts").collect()[0][0]
+    assert copies <= 4 * made["prefix"].count()
