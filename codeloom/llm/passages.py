@@ -19,7 +19,6 @@ SEED = float(WORDS)  # worth of a seed
 MARGIN = 64  # words around a chain that alignment may reach
 NEAR = 24  # words that alignment looks ahead at a difference
 SURE = 3  # equal words after which it goes on
-EVERY = 7  # of consecutive runs of ``least`` words, one at least is kept
 STRETCH = 32  # words in which the equal runs of one diagonal are one link; below ``least``, so they are one equal run
 
 _EACH = np.random.default_rng(91).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -40,22 +39,22 @@ def _least_of(values: np.ndarray, window: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1) + np.arange(len(values) - window + 1)
 
 
-def runs(grams: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, k-mer places) of runs of ``least`` words: of every EVERY that follow each other the least.
+def runs(grams: np.ndarray, least: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of every run of ``least`` words whose seeds all are at ``repeated`` places.
 
-    So two texts that share ``least + EVERY - 1`` words in a row share a key of them. The place is that
-    of the least of the run's first WINDOW k-mers, which is a seed wherever the run stands; how far it lies
-    from the run's start is the key's last four bits.
+    Equal runs have the same seeds, so what two documents share is among those.
     """
-    n = len(grams) - (least - WORDS)
-    if n < 1:
+    n, wide = len(grams) - (least - WORDS), least - WORDS - WINDOW + 2  # runs; windows in each
+    if n < 1 or not len(repeated):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    all_ = np.zeros(n, dtype=np.uint64)
+    known = np.zeros(len(grams), dtype=bool)
+    known[repeated[repeated < len(grams)]] = True
+    good = np.r_[0, np.cumsum(known[_least_of(grams, WINDOW)])]
+    start = np.flatnonzero(good[wide:] - good[:-wide] == wide)
+    keys = np.zeros(len(start), dtype=np.uint64)
     for k in sorted({*range(0, least - WORDS, WORDS), least - WORDS}):
-        all_ = mix(all_ + grams[k : k + n])
-    start = np.unique(_least_of(all_, EVERY))
-    seed = _least_of(grams, WINDOW)[start]
-    return all_[start] & ~np.uint64(15) | (seed - start).astype(np.uint64), seed
+        keys = mix(keys + grams[start + k])
+    return keys, start
 
 
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,25 +78,34 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at
 
 
-def _seeded(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Every seed of a text as it is, with the runs that begin at it; one that comes again also by its number."""
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every seed of a text as it is; one that comes again also by its number."""
     for batch in slices(batches):
         hashes, edges = words(batch.column(1))
-        grams, places, ids, keys, sizes = [], [], [], [], []
+        grams, places, ids = [], [], []
         for doc_id, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
             g, at = seeds(hashes[a:b])
             each = kmers(hashes[a:b])
             again = g != each[at]
-            key, of = runs(each, least)
-            order = np.argsort(of, kind="stable")
-            keys.append(key[order])
-            sizes += [np.bincount(np.searchsorted(at, of), minlength=len(at)), np.zeros(int(again.sum()), dtype=np.int64)]
             grams += [each[at], g[again]]
             places += [at, at[again]]
             ids.append(np.full(len(g) + int(again.sum()), doc_id, dtype=np.int64))
-        flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (grams, ids, places, keys, sizes)]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(flat[4])].astype(np.int32)), pa.array(flat[3].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1]), pa.array(flat[2].astype(np.int32)), lists], names=["seed", "doc_id", "at", "runs"])
+        flat = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (grams, ids, places)]
+        yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1]), pa.array(flat[2].astype(np.int32))], names=["seed", "doc_id", "at"])
+    release()
+
+
+def _with_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The runs of each document (doc_id, text, places of its repeated seeds)."""
+    for batch in slices(batches):
+        hashes, edges = words(batch.column(1))
+        keys, ids, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for doc_id, repeated, a, b in zip(batch.column(0).to_pylist(), batch.column(2), edges[:-1].tolist(), edges[1:].tolist()):
+            key, at = runs(kmers(hashes[a:b]), least, repeated.values.to_numpy())
+            keys.append(key)
+            ids.append(np.full(len(key), doc_id, dtype=np.int64))
+            places.append(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["run", "doc_id", "at"])
     release()
 
 
@@ -293,10 +301,11 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: int, identity: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 8, names=names)
 
 
-def _run_links(met: DataFrame, least: int) -> DataFrame:
+def _run_links(met: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """Runs that several documents hold, linked to their first place: as links of seeds, with the span to the last k-mer."""
-    held = met.select("doc_id", "at", F.explode("runs").alias("run"))
-    held = held.select("run", "doc_id", (F.col("at") - F.col("run").bitwiseAND(F.lit(15))).cast("int").alias("at"))
+    repeated = met.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    held = texts.join(repeated, "doc_id").select("doc_id", "text", "places").mapInArrow(lambda b: _with_runs(b, least), "run long, doc_id long, at int")
+    held = materialize(held, "runs")
     first = held.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).where("most > first.doc_id")
     first = materialize(first.select("run", F.col("first.doc_id").alias("other"), F.col("first.at").alias("other_at")), "repeated-runs")
     each = held.join(first, "run").where("doc_id <> other").withColumn("diagonal", F.col("at") - F.col("other_at"))
@@ -311,8 +320,8 @@ def repeated_passages(docs: DataFrame, least: int = 45, identity: float = 0.8) -
     Words are those of the near-duplicate contract. Every k-mer seed that several documents hold is
     linked to its first place in the document of the least id, not to all others. As the seeds of
     a passage made of frequent lines may have different first documents, runs of ``least`` words are
-    linked too, each to its own first place: of any ``least + EVERY - 1`` words in a row that a document
-    shares with one of a smaller id, ``least`` at least so are in a row of the result, however often
+    linked too, every one of them and each to its own first place: any ``least`` words in a row (20 at least)
+    that a document shares with one of a smaller id so are in a row of the result, however often
     their seeds occur elsewhere and however often the passage is repeated in either document. That
     other document is the first that holds the run, which need not be each one that shares the passage.
     Passages with differences, and shorter ones, need two seeds with the same first document. What a
@@ -323,19 +332,19 @@ def repeated_passages(docs: DataFrame, least: int = 45, identity: float = 0.8) -
     compared with other ids only. Only ``doc_id`` and ``text`` are read.
 
     Seeds are counted before they are joined; the join on a frequent seed can be split, as its other
-    side is one row. Only runs that begin at a repeated seed are looked at. A pair's links are no more
+    side is one row. Only runs whose seeds all are repeated are looked at. A pair's links are no more
     than its document's seeds, and its runs, one for each diagonal and STRETCH.
     """
     ready(docs.sparkSession)
     span = max(least, WINDOW + WORDS - 1)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(texts.mapInArrow(lambda b: _seeded(b, span), "seed long, doc_id long, at int, runs array<long>"), "seeds")
+    found = materialize(texts.mapInArrow(_seeded, "seed long, doc_id long, at int"), "seeds")
     first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).where("most > first.doc_id")
     first = first.select("seed", F.col("first.doc_id").alias("other"), F.col("first.at").alias("other_at"))
     first = materialize(first, "repeated-seeds")  # so the join below shuffles both sides anew and can split a frequent seed
-    met = materialize(found.join(first, "seed").select("doc_id", "other", "at", "other_at", "runs"), "met")
+    met = materialize(found.join(first, "seed").select("doc_id", "other", "at", "other_at"), "met")
     links = met.where("doc_id <> other").select("doc_id", "other", "at", "other_at", F.lit(0).alias("span"))
-    links = links.unionByName(_run_links(met, span))
+    links = links.unionByName(_run_links(met, texts, span))
     links = links.repartition("doc_id", "other").sortWithinPartitions("doc_id", "other", "at", "other_at")
     pairs = links.mapInArrow(lambda b: _chained(b, 2), "doc_id long, other long, chains array<long>")
     pairs = materialize(pairs, "chains")

@@ -177,3 +177,23 @@ def test_random_copies_against_all_runs(docs_of):
         for s, e in found.get(i, []):
             covered |= set(range(s, e))
         assert len(covered & set(range(a, b))) >= b - a - 12
+
+
+def test_every_run_of_45_words_is_found_whatever_earlier_texts_hold(docs_of):
+    """Two texts share 45 to 50 words, whose stretches of 12 to 20 earlier ones hold: against all runs of all texts."""
+    rnd = random.Random(21)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for i in range(60):
+        n = 45 + i % 6
+        p = text(n)
+        docs += [" ".join([*text(20), *p[k : k + 12 + i % 9], *text(20)]) for k in range(0, n - 8, 4)]
+        docs += [" ".join([*text(10), *p, *text(30)]), " ".join([*text(25), *p, *text(5)])]
+    want = brute_passages(docs, 45)
+    assert len(want) == 60
+    found = {}
+    for r in P.repeated_passages(docs_of(docs)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for i, a, b in want:
+        assert any(s <= a and e >= b for s, e in found.get(i, []))
+    assert set(found) == {i for i, _, _ in want}
